@@ -19,7 +19,7 @@ def monthly_segment_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "orders")
         .select(
             "o_custkey",
-            F.date_format("o_orderdate", "yyyy-MM").alias("month"),
+            F.trunc("o_orderdate", "month").alias("month"),
             cents(F.col("o_totalprice")).alias("cents"),
         )
         .groupBy("o_custkey", "month")
@@ -30,6 +30,7 @@ def monthly_segment_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         per_customer.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy(F.col("c_mktsegment").alias("segment"), "month")
         .agg(F.sum("n").alias("order_count"), F.sum("cents").alias("sales_cents"))
+        .withColumn("month", F.date_format("month", "yyyy-MM"))
     )
     return with_change(totals, ["segment"], "month", "sales_cents")
 
