@@ -1,0 +1,114 @@
+"""Quality rules against a plain Python version."""
+
+import re
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
+
+from tallyspark.llm import quality_rules as Q
+
+SCHEMA = "doc_id long, text string, source string, kept string"
+
+
+def plain_statistics(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    count = Counter(windows)
+    covered = set()
+    for i, x in enumerate(windows):
+        if count[x] > 1:
+            covered.update((i, i + 1, i + 2))
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (
+        len(w),
+        sum(map(len, w)),
+        sum(c in "#*$%&|<>" for c in text),
+        len(lines) - len(set(lines)),
+        len(covered),
+    )
+
+
+def plain_kept(rows, limit, max_line_words=20, percent=20):
+    seen = defaultdict(set)
+
+    def short(text):
+        for x in (text or "").split("\n"):
+            norm = re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()
+            if norm and len(norm.split(" ")) <= max_line_words:
+                yield norm
+
+    for _, text, source, *_ in rows:
+        for x in short(text):
+            seen[source or "", x].add(text)
+    out = []
+    for i, text, source, *_ in rows:
+        n, _, _, _, rep = plain_statistics(text)
+        failed = n < 50 or 100 * rep > 50 * n
+        gone = sum(len(x.split(" ")) for x in short(text) if len(seen[source or "", x]) > limit)
+        out.append((i, failed, not failed and 100 * (n - gone) >= percent * n))
+    return out
+
+
+def body(i, n=60):
+    return " ".join(f"w{i}x{j}" for j in range(n))
+
+
+ROWS = [
+    (1, None, "a", "x"),
+    (2, "", None, None),
+    (3, " \t\n", "a", "x"),
+    (4, body(4) + "\nMenu  of THE site\n" + body(4), "a", "x"),
+    (5, body(5) + "\nmenu of the site ", "a", "x"),
+    (6, body(6) + "\n\tmenu of the site", "a", "x"),
+    (7, "menu of the site\n" * 15 + body(7, 9), "a", "x"),
+    (8, "\n".join(f"menu of the site\nline {k} of the site" for k in range(30)), "b", "x"),
+    (9, body(9), "a", "x"),
+    (9, body(9), "a", "x"),
+    (None, body(10), "a", "x"),
+    (11, "a b c a b c a b c " * 30, "a", "x"),
+    (12, "# * $ é 漢字 <b> | a\x0bb\x0cc\r\nd", "a", "x"),
+    (13, "word " * 30000, "a", "x"),
+] + [(100 + k, "\n".join(["menu of the site", "all rights reserved today"] * 12) + "\n" + body(k, 8), "a", "x") for k in range(4)]
+
+
+def test_matches_plain(spark):
+    got = Q.quality_rules(spark.createDataFrame(ROWS, SCHEMA), max_documents=3).collect()
+    stats = Counter(
+        (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got
+    )
+    assert stats == Counter((r[0], *plain_statistics(r[1])) for r in ROWS)
+    assert Counter((r.doc_id, r.base_failed, r.kept) for r in got) == Counter(plain_kept(ROWS, 3))
+
+
+def test_depleted_documents_go(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    kept = Q.keep_documents(docs, max_documents=3)
+    assert kept.columns == docs.columns
+    want = Counter(x for x, _, k in plain_kept(ROWS, 3) if k)
+    assert Counter(r.doc_id for r in kept.collect()) == want
+    rows = [(k, "\n".join(f"a{j} b{j} c{j} d{j}" for j in range(20)) + f"\nown {k} line", "h", "")
+            for k in range(6)]
+    many = Q.quality_rules(spark.createDataFrame(rows, SCHEMA), max_documents=5)
+    assert not any(r.kept for r in many.collect()) and not any(r.base_failed for r in many.collect())
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    assert Q.quality_rules(docs).count() == 0
+    assert Q.keep_documents(docs).count() == 0
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    got = Q.quality_rules(docs, max_documents=2).collect()
+    stats = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got}
+    assert stats == {(i, *plain_statistics(t)) for i, t, _ in rows}
+    assert {(r.doc_id, r.base_failed, r.kept) for r in got} == set(plain_kept(rows, 2))
+
+
+def test_no_python_in_plan(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = Q.quality_rules(docs)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
