@@ -1,19 +1,19 @@
 """Concatenate and cut: documents laid end to end and cut into fixed windows.
 
-Global offsets come from two passes: the token totals of the partitions are
-summed to prefix sums, then each partition adds its own running sum. The
-second pass cuts at window borders, so a document gives one piece for each
-window it reaches into.
+Global offsets come from two passes. The first tokenizes, and notes per
+document the running sum of tokens in its partition; the totals of the
+partitions are summed to prefix sums. The second adds the two and cuts at
+window borders, so a document gives one piece for each window it reaches into.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +23,17 @@ from tallyspark.llm.common import written
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+#: Pre-tokens whose ids a worker remembers.
+CACHE_PRE_TOKENS = 600_000
+#: Characters of texts whose new pre-tokens are learned at once.
+LEARN_CHARS = 4_000_000
+#: A text without any of these is plain: Latin letters, ASCII marks and spaces, so that it is
+#: composed already and every library agrees on its letters, digits and spaces.
+NOT_PLAIN = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xbf\xd7\xf7\u0130\u0180-\U0010ffff]")
+#: The pattern of the word-level tokenizer for lower-cased plain texts; contractions come first.
+PLAIN = "[a-z\xdf-\u017f]+|[0-9]|[^a-z0-9\xdf-\u017f\t-\r ]+"
+WITH_APOSTROPHE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|" + PLAIN)
+WITHOUT_APOSTROPHE = re.compile(PLAIN)
 
 
 @lru_cache(maxsize=4)
@@ -35,97 +44,131 @@ def _tokenizer(path: str) -> Tokenizer:
     return t
 
 
-class WordEncoder:
-    """Ids of a text by a tokenizer whose pre-tokens never reach across a space.
+class Encoder:
+    """Ids of texts by a word-level tokenizer, each distinct pre-token of plain texts encoded once.
 
-    The library encodes each word once; texts are put together from the ids
-    of their words. A text that holds a special string is encoded whole.
+    Texts that are not plain, or hold a special string, the library encodes whole.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache: int = CACHE_PRE_TOKENS):
         self.tokenizer = _tokenizer(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ids: dict[str, bytes] = {}
-        self.cache_words = cache_words
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.ids) > self.cache_words:
-            self.ids.clear()
-        new = [w for w in words if w not in self.ids]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.ids[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        # The ASCII space only: other spaces stay inside a "word" for the library to judge.
-        words = text.split(" ")
-        ids = self.ids
-        try:
-            return b"".join([ids[w] for w in words])
-        except KeyError:
-            self._learn(set(words))
-            ids = self.ids
-            return b"".join([ids[w] if w in ids else b"" for w in words])
+        self.kind = _id_type(path)
+        self.pieces: dict[str, bytes] = {}
+        self.cache = cache
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of distinct pre-tokens, many of them in a text; those of each end with an id that ends a word."""
+        chunks = [new[i : i + 256] for i in range(0, len(new), 256)]
+        for chunk, ids in zip(chunks, self._encode([" ".join(c) for c in chunks])):
+            ids = np.array(ids, self.kind)
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            if len(ends) == len(chunk):
+                packed, at = ids.tobytes(), 0
+                for p, end in zip(chunk, ends.tolist()):
+                    self.pieces[p] = packed[at:end]
+                    at = end
+            else:
+                for p, alone in zip(chunk, self._encode(chunk)):
+                    self.pieces[p] = np.array(alone, self.kind).tobytes()
+
+    def _split(self, text: str) -> list[str] | None:
+        if NOT_PLAIN.search(text) or any(s in text for s in self.special):
+            return None
+        return (WITH_APOSTROPHE if "'" in text else WITHOUT_APOSTROPHE).findall(text.lower())
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids as little-endian unsigned integers of `kind`."""
+        out: list[bytes] = []
+        while len(out) < len(texts):
+            some, chars = [], 0
+            for text in texts[len(out) :]:
+                if some and chars + len(text) > LEARN_CHARS:
+                    break
+                some.append(text)
+                chars += len(text)
+            split = [self._split(t) for t in some]
+            if len(self.pieces) > self.cache:
+                self.pieces.clear()
+            ids = self.pieces
+            self._learn([p for p in set().union(*(s for s in split if s is not None)) if p not in ids])
+            for text, parts in zip(some, split):
+                if parts is None:
+                    out.append(np.array(self._encode([text])[0], self.kind).tobytes())
+                else:
+                    out.append(b"".join([ids[p] for p in parts]))
+        return out
+
+
+def _id_type(path: str) -> str:
+    return "<u2" if _tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+_TOKENS = pa.schema(
+    [("part", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())]
+)
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(`part`, `row`, `doc_id`, `ids`): ids as packed 32-bit integers, `end_id` last."""
-    last = np.array([end_id], "<u4").tobytes()
-    schema = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+    """(`part`, `before`, `n`, `doc_id`, `ids`): packed ids, `end_id` last.
+
+    `before` counts the tokens of the partition's documents in front.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, row = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, before = Encoder(path), TaskContext.get().partitionId(), 0
+        last = np.array([end_id], encoder.kind).tobytes()
+        width = len(last)
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                out.append((doc_id, encoder.encode(text.as_py() or "") + last))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part] * len(out), pa.int32()), pa.array(range(row, row + len(out)), pa.int64()),
-                        pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary()),
-                    ],
-                    schema=schema,
-                )
-            row += len(out)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            if not texts:
+                continue
+            ids = [x + last for x in encoder.encode_many(texts)]
+            n = np.array([len(x) // width for x in ids], np.int64)
+            at = before + np.cumsum(n) - n
+            before += int(n.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part] * len(ids), pa.int32()), pa.array(at), pa.array(n), batch.column(0), pa.array(ids, pa.binary())],
+                schema=_TOKENS,
+            )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, "part int, row long, doc_id long, ids binary")
+    return source.mapInArrow(run, "part int, before long, n long, doc_id long, ids binary")
 
 
 def partition_offsets(tokens: DataFrame) -> DataFrame:
-    """(`part`, `base`): tokens in all partitions before. The first pass; a row per partition."""
-    totals = tokens.groupBy("part").agg(F.sum(F.expr("octet_length(ids) div 4")).alias("n"))
+    """(`part`, `base`): tokens in all partitions before; one row per partition goes through the window."""
+    totals = tokens.groupBy("part").agg(F.sum("n").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
 
-def document_offsets(tokens: DataFrame) -> DataFrame:
-    """(`part`, `row`, `begin`): where each document begins among all tokens. The second pass."""
-    lengths = tokens.select("part", "row", F.expr("octet_length(ids) div 4").alias("n"))
-    before = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        lengths.withColumn("own", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .join(partition_offsets(tokens), "part")
-        .select("part", "row", (F.col("base") + F.col("own")).alias("begin"))
-    )
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pieces of `docs` (`doc_id`, `text`) in windows of `window` tokens, one row per piece.
 
     `doc_id`, `start` and `length` of the piece in its document, `ids_crc32`,
-    `doc_tokens`, `sequence_id`, `offset` in the window, and `ids`, the packed
-    ids. Every window but the last is full. Null and empty texts are their end
-    id alone. Rows that repeat are packed each; a null id stays null. An empty
-    table gives an empty result. Other columns are ignored.
+    `doc_tokens`, `sequence_id`, `offset` in the window, and `ids`, packed as
+    little-endian unsigned 32-bit integers. Every window but the last is full.
+    Null and empty texts are their end id alone. Rows that repeat are packed
+    each; a null id stays null. An empty table gives an empty result. Other
+    columns are ignored.
     """
+    kind = _id_type(path)
+    width = int(kind[-1])
     tokens = written(tokenized(docs, path, end_id), "packing-tokens")
-    placed = tokens.join(document_offsets(tokens), ["part", "row"])
+    # Written, so that its size is known: Spark broadcasts it only if it is small.
+    placed = tokens.join(written(partition_offsets(tokens), "packing-offsets"), "part")
     schema = pa.schema(
         [(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
         + [("ids", pa.binary())]
@@ -134,19 +177,15 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, ids, begin in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                data = ids.as_buffer()
-                n, at = len(data) // 4, 0
+            for doc_id, ids, begin in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                n, at = len(ids) // width, 0
                 while at < n:
                     sequence, offset = divmod(begin + at, window)
                     length = min(window - offset, n - at)
-                    piece = data[4 * at : 4 * (at + length)].to_pybytes()
+                    piece = np.frombuffer(ids, kind, length, at * width).astype("<u4").tobytes()
                     rows.append((doc_id, at, length, zlib.crc32(piece), n, sequence, offset, piece))
                     at += length
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return placed.select("doc_id", "ids", "begin").mapInArrow(
-        cut,
-        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary",
-    )
+    return placed.select("doc_id", "ids", (F.col("base") + F.col("before")).alias("begin")).mapInArrow(cut, _PIECES)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import quality_rules, secret_scan, simhash
+from tallyspark.llm import packing, quality_rules, secret_scan, simhash, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,14 +37,31 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(_read(spark, sf_dir, "documents"), path).drop("ids")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_report(_read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_pivots": op2_simhash_pivots,
     "op4_quality_rules": op4_quality_rules,
+    "op6_concat_and_cut": op6_concat_and_cut,
     "op7_secret_scan": op7_secret_scan,
+    "op9_toxicity": op9_toxicity,
+    "op10_token_counts": op10_token_counts,
 }
 
 #: DuckDB SQL with the same rows, where SQL can express the query.

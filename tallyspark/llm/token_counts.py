@@ -1,10 +1,11 @@
 """Token counts without ids: pieces counted once per distinct pre-token, joined to frequencies.
 
 The frequencies leave a block of documents as one row per pre-token, with the
-documents that hold it packed as (position, frequency) pairs. The pieces of a
-pre-token are counted by the tokenizer once, in the table of distinct
-pre-tokens. The join brings the count to the packed frequencies, and each
-block sums them.
+documents that hold it packed as (position, frequency). All rows of a
+pre-token then meet in one partition, sorted, where the tokenizer counts its
+pieces once and the count is joined to the frequencies. A pre-token has at
+most one row per block, so even the most frequent one is a small share. What
+goes on to the sums is, per block and partition, one packed row.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyspark.llm.common import written
-
 #: Fixed value: the pattern by which the byte-level tokenizers split a text.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Code points of documents in a block; a longer document is a block of its own.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 16_000_000
+#: Packed (document, frequency) pairs that a task sums before it passes the sums on.
+FLUSH_PAIRS = 2_000_000
+_FREQUENCY_BITS = 8
+_MOST = (1 << _FREQUENCY_BITS) - 1
 
 
 @lru_cache(maxsize=4)
@@ -38,19 +41,21 @@ def _tokenizer(path: str) -> Tokenizer:
 
 
 @lru_cache(maxsize=4)
-def _splitter(path: str):
+def _special(path: str):
     """The special strings of the tokenizer as one pattern with a group, or None."""
-    special = [x.content for x in _tokenizer(path).get_added_tokens_decoder().values()]
-    return regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+    special = sorted((x.content for x in _tokenizer(path).get_added_tokens_decoder().values()), key=len, reverse=True)
+    return regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+
+
+_split = regex.compile(PRE_TOKEN).findall
 
 
 @lru_cache(maxsize=4)
 def vocabulary_counts(path: str) -> dict[str, int]:
-    """Pieces of every entry of the vocabulary that is a pre-token: bounded by the vocabulary's size."""
-    t = _tokenizer(path)
+    """Pieces of each vocabulary entry that is a pre-token: bounded by the size of the vocabulary."""
+    t, special = _tokenizer(path), _special(path)
     words = [t.decode([i], skip_special_tokens=False) for i in range(t.get_vocab_size())]
-    split = _splitter(path)
-    words = [w for w in words if "�" not in w and regex.fullmatch(PRE_TOKEN, w) and not (split and split.search(w))]
+    words = [w for w in words if "�" not in w and _split(w) == [w] and not (special and special.search(w))]
     return dict(zip(words, piece_counts(path, words)))
 
 
@@ -60,13 +65,13 @@ def piece_counts(path: str, pre_tokens: list[str]) -> list[int]:
 
 def pre_token_frequencies(path: str, text: str) -> tuple[Counter, int]:
     """Frequencies of the pre-tokens of a text, and the number of special strings in it."""
-    split = _splitter(path)
-    if split is None or not split.search(text):
-        return Counter(regex.findall(PRE_TOKEN, text)), 0
-    parts = split.split(text)  # texts and special strings in turn
+    special = _special(path)
+    if special is None or not special.search(text):
+        return Counter(_split(text)), 0
+    parts = special.split(text)  # texts and special strings in turn
     count: Counter = Counter()
     for part in parts[::2]:
-        count.update(regex.findall(PRE_TOKEN, part))
+        count.update(_split(part))
     return count, len(parts) // 2
 
 
@@ -75,7 +80,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tupl
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             text = text.as_py() or ""
-            if block and chars + len(text) > limit:
+            if block and (chars + len(text) > limit or len(block) >> (32 - _FREQUENCY_BITS)):
                 yield block
                 block, chars = [], 0
             block.append((doc_id, text))
@@ -84,18 +89,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tupl
         yield block
 
 
+_FREQUENCIES = pa.schema(
+    [("block", pa.int64()), ("pre_token", pa.string()), ("pairs", pa.binary()), ("head", pa.binary())]
+)
+
+
 def frequencies(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows per block of documents.
 
-    A row with a `pre_token` has the positions in its block of the documents
-    that hold it and how often (`at`, `times`, packed 32-bit integers). One
-    row without a pre-token has the block's documents: ids, bytes, and what
-    special strings and pre-tokens of the vocabulary already sum to.
+    A row with a `pre_token` has `pairs`, packed 32-bit integers of which each
+    is a document's position in the block and a frequency. One row without a
+    pre-token has the `head` of the block: packed 64-bit integers, per
+    document its id, whether the id is null, its bytes, and what its special
+    strings and its pre-tokens in the vocabulary sum to.
     """
-    schema = (
-        "block string, pre_token string, at binary, times binary, "
-        "doc_ids array<long>, n_bytes array<long>, known array<long>"
-    )
 
     def run(batches):
         from pyspark import TaskContext
@@ -103,57 +110,102 @@ def frequencies(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> D
         vocabulary = vocabulary_counts(path)
         part = TaskContext.get().partitionId()
         for n, block in enumerate(_blocks(batches, block_chars)):
-            at, times, known = defaultdict(list), defaultdict(list), []
-            for k, (_, text) in enumerate(block):
+            name, head, pairs = (part << 32) + n, [], defaultdict(list)
+            for k, (doc_id, text) in enumerate(block):
                 count, total = pre_token_frequencies(path, text)
+                at = k << _FREQUENCY_BITS
                 for token, f in count.items():
                     pieces = vocabulary.get(token)
-                    if pieces is None:
-                        at[token].append(k)
-                        times[token].append(f)
-                    else:
+                    if pieces is not None:
                         total += pieces * f
-                known.append(total)
-            name = f"{part}-{n}"
-            head = pa.RecordBatch.from_pylist(
-                [{"block": name, "doc_ids": [d for d, _ in block], "n_bytes": [len(t.encode()) for _, t in block], "known": known}],
-                schema=arrow,
-            )
-            yield head
-            tokens = list(at)
+                        continue
+                    while f > _MOST:
+                        pairs[token].append(at | _MOST)
+                        f -= _MOST
+                    pairs[token].append(at | f)
+                head.append((doc_id or 0, doc_id is None, len(text.encode()), total))
+            packed = np.array(head, "<i8").tobytes()
+            yield pa.RecordBatch.from_pylist([{"block": name, "head": packed}], schema=_FREQUENCIES)
+            tokens = list(pairs)
             for i in range(0, len(tokens), 20000):
                 some = tokens[i : i + 20000]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([name] * len(some)), pa.array(some),
-                        pa.array([np.array(at[t], "<u4").tobytes() for t in some], pa.binary()),
-                        pa.array([np.array(times[t], "<u4").tobytes() for t in some], pa.binary()),
-                        *(pa.nulls(len(some), pa.list_(pa.int64())) for _ in range(3)),
+                        pa.array([name] * len(some), pa.int64()),
+                        pa.array(some),
+                        pa.array([np.array(pairs[t], "<u4").tobytes() for t in some], pa.binary()),
+                        pa.nulls(len(some), pa.binary()),
                     ],
-                    schema=arrow,
+                    schema=_FREQUENCIES,
                 )
 
-    longs = pa.list_(pa.int64())
-    arrow = pa.schema(
-        [("block", pa.string()), ("pre_token", pa.string()), ("at", pa.binary()), ("times", pa.binary()),
-         ("doc_ids", longs), ("n_bytes", longs), ("known", longs)]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "block long, pre_token string, pairs binary, head binary"
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-
 
-def distinct_counts(rows: DataFrame, path: str) -> DataFrame:
-    """(`pre_token`, `pieces`): every distinct pre-token, counted once by the tokenizer."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["pieces"] = piece_counts(path, frame["pre_token"].tolist())
-            yield frame
+def counted(rows: DataFrame, path: str, flush_pairs: int = FLUSH_PAIRS) -> DataFrame:
+    """(`block`, `head`, `at`, `sums`): the heads, and tokens per document summed over pre-tokens."""
+    schema = pa.schema([("block", pa.int64()), ("head", pa.binary()), ("at", pa.binary()), ("sums", pa.binary())])
 
-    distinct = rows.select("pre_token").where("pre_token is not null").distinct()
-    return distinct.mapInPandas(run, "pre_token string, pieces int")
+    def sums(held: dict[int, list]) -> pa.RecordBatch:
+        out = {c: [] for c in schema.names}
+        for block, parts in held.items():
+            at = np.concatenate([a for a, _ in parts])
+            value = np.concatenate([v for _, v in parts])
+            each = np.bincount(at, value)  # float64: exact below 2 ** 53
+            has = np.flatnonzero(each)
+            out["block"].append(block)
+            out["head"].append(None)
+            out["at"].append(has.astype("<u4").tobytes())
+            out["sums"].append(each[has].astype("<u4").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
-
-def token_counts(docs: DataFrame, path: str, limit: int = 1024, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    def run(batches):
+        held, n, last, last_pieces = defaultdict(list), 0, None, 0
+        for batch in batches:
+            frame = batch.to_pandas()
+            is_head = frame["pre_token"].isna()
+            if is_head.any():
+                some = frame[is_head]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some["block"], pa.int64()), pa.array(some["head"], pa.binary()), *(pa.nulls(len(some), pa.binary()) for _ in range(2))],
+                    schema=schema,
+                )
+                frame = frame[~is_head]
+            if not len(frame):
+                continue
+            tokens = frame["pre_token"].to_numpy()
+            first = np.append(True, tokens[1:] != tokens[:-1])  # sorted: each distinct pre-token once
+            new = tokens[first].tolist()
+            known = new[0] == last
+            pieces = ([last_pieces] if known else []) + piece_counts(path, new[1:] if known else new)
+            last, last_pieces = new[-1], pieces[-1]
+            pieces = np.array(pieces, np.int64)[np.cumsum(first) - 1]
+            size = frame["pairs"].str.len().to_numpy() // 4
+            pairs = np.frombuffer(b"".join(frame["pairs"]), "<u4")
+            value = np.repeat(pieces, size) * (pairs & _MOST).astype(np.int64)
+            at = (pairs >> _FREQUENCY_BITS).astype(np.int64)
+            blocks = np.repeat(frame["block"].to_numpy(), size)
+            order = np.argsort(blocks, kind="stable")
+            blocks, at, value = blocks[order], at[order], value[order]
+            edges = np.append(np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])), len(blocks))
+            for a, b in zip(edges, edges[1:]):
+                held[int(blocks[a])].append((at[a:b], value[a:b]))
+            n += len(pairs)
+            if n > flush_pairs:
+                yield sums(held)
+                held, n = defaultdict(list), 0
+        if held:
+            yield sums(held)
+
+    dealt = rows.repartition(F.coalesce("pre_token", F.col("block").cast("string"))).sortWithinPartitions("pre_token")
+    return dealt.mapInArrow(run, "block long, head binary, at binary, sums binary")
+
+
+def token_counts(
+    docs: DataFrame, path: str, limit: int = 1024, block_chars: int = BLOCK_CHARS, flush_pairs: int = FLUSH_PAIRS
+) -> DataFrame:
     """(`doc_id`, `n_bytes`, `n_tokens`, `over_limit`) for every row of `docs` (`doc_id`, `text`).
 
     `path` is a byte-level BPE tokenizer file. Special strings inside a text
@@ -161,27 +213,19 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, block_chars: int
     empty texts: 0 bytes, 0 tokens. Rows that repeat give a row each, null ids
     too. Other columns are ignored.
     """
-    rows = written(frequencies(docs, path, block_chars), "token-frequencies")
-    counts = distinct_counts(rows, path)
-    joined = (
-        rows.where("pre_token is not null")
-        .join(counts, "pre_token")
-        .select("block", "pieces", "at", "times", *(F.lit(None).cast("array<long>").alias(c) for c in ("doc_ids", "n_bytes", "known")))
-    )
-    heads = rows.where("pre_token is null").select(
-        "block", F.lit(0).alias("pieces"), "at", "times", "doc_ids", "n_bytes", "known"
-    )
 
     def total(frame: pd.DataFrame) -> pd.DataFrame:
-        head = frame[frame["doc_ids"].notna()].iloc[0]
-        rest = frame[frame["doc_ids"].isna()]
-        known = np.asarray(head["known"], np.int64).copy()
+        is_head = frame["head"].notna()
+        head = np.frombuffer(frame.loc[is_head, "head"].iloc[0], "<i8").reshape(-1, 4)
+        rest = frame[~is_head]
+        n = head[:, 3].copy()
         if len(rest):
             at = np.frombuffer(b"".join(rest["at"]), "<u4")
-            times = np.frombuffer(b"".join(rest["times"]), "<u4").astype(np.int64)
-            pieces = np.repeat(rest["pieces"].to_numpy(np.int64), rest["at"].str.len().to_numpy() // 4)
-            np.add.at(known, at, times * pieces)
-        return pd.DataFrame({"doc_id": pd.array(head["doc_ids"], "Int64"), "n_bytes": head["n_bytes"], "n_tokens": known})
+            np.add.at(n, at, np.frombuffer(b"".join(rest["sums"]), "<u4").astype(np.int64))
+        ids = pd.array(head[:, 0], "Int64")
+        ids[head[:, 1] == 1] = pd.NA
+        return pd.DataFrame({"doc_id": ids, "n_bytes": head[:, 2], "n_tokens": n})
 
-    sums = heads.union(joined).groupBy("block").applyInPandas(total, "doc_id long, n_bytes long, n_tokens long")
+    rows = counted(frequencies(docs, path, block_chars), path, flush_pairs)
+    sums = rows.groupBy("block").applyInPandas(total, "doc_id long, n_bytes long, n_tokens long")
     return sums.select("*", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -1,0 +1,39 @@
+"""Token counts against the tokenizer on whole texts."""
+
+from collections import Counter
+
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from tallyspark.llm import token_counts as T
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+SCHEMA = "doc_id long, text string, block string, pieces string"
+TEXTS = [None, "", " ", "\n\n  \t x", "a<|endoftext|>b <|endoftext|><|endoftext|> c", "don't DON'T 123 4½ ₂", "é é 漢字 🙂👩‍👩‍👧",
+         "thheouble thheouble " * 400, "x" * 3000, "word " * 20000, "a b c\u0085d", "zq " * 700, "  lead", "trail  "]
+
+
+def plain(rows):
+    t = Tokenizer.from_file(PATH)
+    out = Counter()
+    for i, x, *_ in rows:
+        n = len(t.encode(x or "", add_special_tokens=False).ids)
+        out[i, len((x or "").encode()), n, n > 1024] += 1
+    return out
+
+
+def test_texts(spark):
+    rows = [(k, t, "x", None) for k, t in enumerate(TEXTS)] + [(3, TEXTS[3], "x", "y"), (None, TEXTS[6], "x", "y"), (0, "q", "", "")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for kwargs in ({}, {"block_chars": 10}, {"block_chars": 5000, "flush_pairs": 3}):
+        assert Counter(tuple(r) for r in T.token_counts(docs, PATH, **kwargs).collect()) == plain(rows)
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert Counter(tuple(r) for r in T.token_counts(docs, PATH).collect()) == plain(rows)
+
+
+def test_empty_table(spark):
+    assert T.token_counts(spark.createDataFrame([], SCHEMA), PATH).count() == 0
