@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import packing, quality_rules, secret_scan, simhash, token_counts, toxicity
+from tallyspark.llm import packing, quality_rules, secret_scan, simhash, token_counts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(_read(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_read(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -57,6 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_pivots": op2_simhash_pivots,
+    "op3_arc_to_warc": op3_arc_to_warc,
     "op4_quality_rules": op4_quality_rules,
     "op6_concat_and_cut": op6_concat_and_cut,
     "op7_secret_scan": op7_secret_scan,
