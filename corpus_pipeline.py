@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import quality_rules, secret_scan, simhash
+from tallyspark.llm import packing, quality_rules, secret_scan, simhash, toxicity
 from tallyspark.llm.common import written
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents that score 0.5 or more go. The labels of `sf_dir` train the classifier."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that fail the base rules or are depleted go."""
     return quality_rules.keep_documents(docs)
@@ -25,10 +31,17 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secret_scan.redact(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: the pieces of all documents in windows of 4096 tokens, ids included."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
     ("quality_rules", drop_poor),
     ("simhash_near_dedup", drop_near_copies),
     ("secret_scans", hide_secrets),
+    ("packing", pack),
 ]
 
 #: Learned scores and tokenizers are beyond SQL.

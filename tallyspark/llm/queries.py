@@ -8,13 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import nn_descent, packing, quality_rules, secret_scan, simhash, token_counts, toxicity, warc
+from tallyspark.llm import (
+    html_extraction,
+    nn_descent,
+    packing,
+    quality_rules,
+    secret_scan,
+    sentencepiece_unigram,
+    simhash,
+    token_counts,
+    toxicity,
+    warc,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extracted(_read(spark, sf_dir, "pages"))
+
+
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select(
@@ -43,6 +58,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_unigram_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepiece_unigram.encoding_report(_read(spark, sf_dir, "documents"), path)
+
+
 def op6_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(_read(spark, sf_dir, "documents"), path).drop("ids")
@@ -66,9 +86,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_crf": op1_html_crf,
     "op2_simhash_pivots": op2_simhash_pivots,
     "op3_arc_to_warc": op3_arc_to_warc,
     "op4_quality_rules": op4_quality_rules,
+    "op5_unigram_encoding": op5_unigram_encoding,
     "op6_concat_and_cut": op6_concat_and_cut,
     "op7_secret_scan": op7_secret_scan,
     "op8_nn_descent": op8_nn_descent,
