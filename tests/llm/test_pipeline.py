@@ -1,0 +1,77 @@
+"""The pipeline, stage by stage, against plain Python versions on the same rows."""
+
+import re
+
+import corpus_pipeline
+import public_tokenizers
+from tallyspark.llm import queries, toxicity
+from test_packing import check, whole
+from test_quality_rules import plain_kept
+from test_secret_scan import plain_base, plain_model
+from test_simhash import plain_components, plain_fingerprint
+
+SF = "/root/testdata/sf0.001"
+
+
+def hidden(text):
+    base = plain_base(text)
+    spans = set()
+    for a, _, b, _ in base + plain_model(text, base):
+        spans.update(range(a, b))
+    return re.sub("\0+", "[SECRET]", "".join("\0" if k in spans else c for k, c in enumerate(text)))
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = [tuple(r) for r in docs.collect()]
+    want = {"toxicity": [r for r in rows if model.score((r[1] or "").encode()) < 0.5]}
+    kept = [k for _, _, k in plain_kept([(r[0], r[1], r[3]) for r in want["toxicity"]], 200)]
+    want["quality_rules"] = [r for r, k in zip(want["toxicity"], kept) if k]
+    ids = [r[0] for r in want["quality_rules"]]
+    groups = plain_components(ids, [plain_fingerprint(r[1]) for r in want["quality_rules"]])
+    want["simhash_near_dedup"] = [r for r, g in zip(want["quality_rules"], groups) if r[0] == g]
+    want["secret_scans"] = [(r[0], hidden(r[1]), *r[2:]) for r in want["simhash_near_dedup"]]
+    assert [name for name, _ in corpus_pipeline.STAGES][:4] == list(want)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert sorted(tuple(r) for r in out.collect()) == sorted(want[name])
+        docs = spark.createDataFrame(want[name], docs.schema)
+    pieces = corpus_pipeline.run(spark, SF).collect()
+    last = want["secret_scans"]
+    check(pieces, dict(zip([r[0] for r in last], whole([r[1] for r in last]))))
+
+
+def test_odd_documents_pass_all_stages(spark, tmp_path):
+    body = " ".join(f"word{k} other{k}" for k in range(60))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, body + " lonely", "en", "s", 1), (3, body, "en", None, 9),
+            (3, body, "en", None, 9), (4, body, None, "s", None), (5, "word " * 50000, "en", "s", 1),
+            (6, body.replace("word3 ", "tree ") + " password=abcdef123", "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string"
+    docs = spark.createDataFrame([(*r, "x") for r in rows], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert 3 in kept and not kept & {1, 2, 4, 5}
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_registered_columns(spark):
+    first = {
+        1: "page_id url text n_chars", 2: "doc_id fingerprint component_id",
+        3: "page_id payload_bytes payload_digest record_type refers_to",
+        4: "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+        6: "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+        7: "doc_id n_assign n_access n_hex base_sha256 spans", 8: "vec_id n_links component_id kept",
+        9: "doc_id held_out score predicted", 10: "doc_id n_bytes n_tokens over_limit",
+    }
+    names = {int(re.match(r"op(\d+)_", n)[1]): q for n, q in queries.QUERIES.items()}
+    assert sorted(names) == list(range(1, 11))
+    for n, columns in first.items():
+        got = names[n](spark, SF)
+        assert set(columns.split()) <= set(got.columns)
+    fp = names[2](spark, SF).collect()
+    assert all(re.fullmatch("[0-9a-f]{16}", r.fingerprint) for r in fp)
+    assert public_tokenizers.path("word_bpe_49k.json") not in open(queries.__file__).read()
