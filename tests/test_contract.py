@@ -1,0 +1,14 @@
+"""What the driver relies on."""
+
+import __spark_entry__ as contract
+
+
+def test_oracles_belong_to_queries():
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_without_the_llm_folder(monkeypatch):
+    monkeypatch.setattr(contract, "_HAS_LLM", False)
+    names = set(contract.queries())
+    assert "nation_sales" in names and set(contract.oracle_sql()) == names
+    assert not any(n == "pipeline" or n.startswith("op") and n[2].isdigit() for n in names)
