@@ -97,6 +97,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
-
-#: DuckDB SQL with the same rows, where SQL can express the query.
-ORACLE_SQL: dict[str, str] = {}
