@@ -38,6 +38,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """`prefix`, with underscores put in front until no column of `df` begins with it."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def words(text: Column) -> Column:
     """The words of a text, by the space class of the contracts."""
     return F.array_remove(F.split(text, SPACE), "")

@@ -10,7 +10,7 @@ from typing import NamedTuple
 #: Elements of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
-SKIPPED = "script|style|noscript|template|svg|math|iframe|object|title|head|textarea|select|canvas|audio|video"
+SKIPPED = "script|style|noscript|template|svg|math|iframe|object|title|textarea|select|canvas|audio|video"
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search "
@@ -37,7 +37,7 @@ _MARKUP = re.compile(
 )
 _NAMES = re.compile(r"""(?:^|[\s"'/])(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Elements that are never left open inside others, however deep a broken page nests them.
+#: Elements that a block's path holds at most; a broken page may nest them without end.
 MAX_DEPTH = 400
 
 
@@ -97,7 +97,7 @@ def leaf_blocks(page: str) -> list[Block]:
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if tag is None:
-            if m["skipped"] and m["skipped"].lower() in ("head", "title", "select"):
+            if m["skipped"] and m["skipped"].lower() in ("title", "select"):
                 flush()
             continue
         tag = tag.lower()

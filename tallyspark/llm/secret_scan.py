@@ -13,6 +13,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.common import free_prefix
+
 #: Kind, pattern, group whose length counts, least length.
 BASE_PATTERNS = (
     (
@@ -168,27 +170,23 @@ def _base(text: Column) -> list[Column]:
     return out
 
 
-def secret_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` and `_spans`, the base and model spans of `text`, ordered by start.
+def secret_spans(docs: DataFrame, name: str, threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` and the column `name`, the base and model spans of `text`, ordered by start.
 
     A span is (start, rank, end, kind) in code points, the end exclusive. A
     model span (kind "markov") that shares characters with a base span is left
-    out. Null or empty text: no spans.
+    out. Null or empty text: no spans. No column of `docs` may begin with `name`.
     """
     text = F.coalesce("text", F.lit(""))
-    base = F.flatten(F.array(*_base(text)))
-    df = docs.withColumn("_base", base)
+    base, model = f"{name}_base", f"{name}_model"
+    df = docs.withColumn(base, F.flatten(F.array(*_base(text))))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    model = F.when(
-        text.rlike(CANDIDATE),
-        _found(text, CANDIDATE, "markov", len(BASE_PATTERNS), lambda m: mean_ratio(m) > threshold),
-    ).otherwise(none)
-    df = df.withColumn("_model", model)
+    found = _found(text, CANDIDATE, "markov", len(BASE_PATTERNS), lambda m: mean_ratio(m) > threshold)
+    df = df.withColumn(model, F.when(text.rlike(CANDIDATE), found).otherwise(none))
     added = F.filter(
-        "_model",
-        lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])),
+        model, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     )
-    return df.withColumn("_spans", F.sort_array(F.concat("_base", added))).drop("_base", "_model")
+    return df.withColumn(name, F.sort_array(F.concat(base, added))).drop(base, model)
 
 
 def span_list(spans: Column) -> Column:
@@ -220,9 +218,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", threshold: float = THRESHOLD
 
     Texts without a span, null ones too, stay as they are.
     """
-    columns = docs.columns
-    df = secret_spans(docs, threshold).withColumn(
-        "_merged", F.when(F.size("_spans") > 0, _merged(F.col("_spans")))
+    spans = free_prefix(docs, "_spans")
+    merged = f"{spans}_merged"
+    df = secret_spans(docs, spans, threshold).withColumn(
+        merged, F.when(F.size(spans) > 0, _merged(F.col(spans)))
     )
     zero = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
     text = F.col("text")
@@ -232,13 +231,12 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", threshold: float = THRESHOLD
         return F.struct(F.concat(acc["text"], gap, F.lit(mark)).alias("text"), s["end"].alias("at"))
 
     clean = F.aggregate(
-        "_merged",
+        merged,
         zero,
         step,
         lambda a: F.concat(a["text"], F.substring(text, a["at"] + 1, F.length(text))),
     )
-    df = df.withColumn("text", F.coalesce(clean, text))
-    return df.select(*columns)
+    return df.withColumn("text", F.coalesce(clean, text)).drop(spans, merged)
 
 
 def scan_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -247,7 +245,7 @@ def scan_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Null or empty text: counts 0, the digest of the empty string, spans "".
     Repeated rows give a row each; other columns are ignored.
     """
-    df = secret_spans(docs.select("doc_id", "text"), threshold)
+    df = secret_spans(docs.select("doc_id", "text"), "_spans", threshold)
     base = F.filter("_spans", lambda s: s["rank"] < len(BASE_PATTERNS))
 
     def count(rank):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import written
+from tallyspark.llm.common import free_prefix, written
 
 #: Bounds of the training sample, in documents, and of the features kept.
 MAX_POSITIVES = 4000
@@ -175,8 +175,11 @@ def train(
     return Model({w: float(x) for w, x in zip(vocabulary, weights) if x}, bias, prior)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` and `_score`, by the whole text; a null text counts as empty. The model is bounded by its features."""
+def scored(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
+    """`docs` and the column `name`, the score of the whole text; a null text counts as empty.
+
+    The model, which tasks receive whole, is bounded by its features.
+    """
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,10 +189,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 model.score(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(at)
             ]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "_score"]
+                [*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name]
             )
 
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -213,4 +216,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """The rows of `docs` that score below 0.5, with all their columns."""
     model = train(docs, labels, **bounds)
-    return scored(docs, model).where("_score < 0.5").drop("_score")
+    score = free_prefix(docs, "_score")
+    return scored(docs, model, score).where(F.col(score) < 0.5).drop(score)

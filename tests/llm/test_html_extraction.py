@@ -58,6 +58,7 @@ def test_blocks():
     assert texts("<P CLASS='x>y'>q</P><div title=\"a\n<b>\">r</div><p unclosed='>s</p>t") == ["q", "r", "s", "t"]
     assert texts("<head><title>no</title></head><body>yes<style>p{}</style>\n no</body>") == ["yes no"]
     assert texts("<head><title>no<body>yes") == ["yes"]
+    assert texts("<head><meta charset=x><title>no</title><link rel=y><p>yes") == ["yes"]
     assert texts("<table><tr><td>a<td>b<tr><td>c</table>") == ["a", "b", "c"]
     assert [b.link_chars for b in leaf_blocks("<p><a href=x>ab</a>c</p>")] == [2]
     deep = leaf_blocks("<div>" * 5000 + "x" + "</div>" * 5000)

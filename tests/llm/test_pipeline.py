@@ -49,7 +49,12 @@ def test_odd_documents_pass_all_stages(spark, tmp_path):
             (3, body, "en", None, 9), (4, body, None, "s", None), (5, "word " * 50000, "en", "s", 1),
             (6, body.replace("word3 ", "tree ") + " password=abcdef123", "en", "s", 1)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, kept string"
-    docs = spark.createDataFrame([(*r, "x") for r in rows], schema)
+    clashing = "_score _spans _spans_base _merged _id _host _text_hash fp ids part before n component_id _gone first _fp".split()
+    schema += "".join(f", {c} string" for c in clashing)
+    docs = spark.createDataFrame([(*r, *["x"] * (1 + len(clashing))) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and {r._spans for r in out.collect()} == {"x"}
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
