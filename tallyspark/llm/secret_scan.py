@@ -27,7 +27,7 @@ BASE_PATTERNS = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 #: Strings that the models judge: long runs with a digit among the characters of keys.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}"
 #: Mean log-likelihood ratio per step, in nats, from which a string counts as random.
 THRESHOLD = 0.5
 _CLASSES = 128

@@ -47,6 +47,7 @@ TEXTS = [
     "0" * 24 + " " + "f" * 23 + " g" + "a1" * 40, "🙂 passwd:" + "x" * 50000, "token==abcde", "tOkEn  :  abcdef",
     "key ghp_Zx81Qw0pLk3Vb6Nn2Tr9Yc5Md7Hs4Jf1Ga0 end", "the internationalisation_of_2024_accounts_report is fine",
     "https://example.com/path/to/the/customer/profile/page2", "token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\"",
+    "a" * 30000 + "Zx81Qw0pLk3Vb6Nn2Tr9Yc5Md7Hs4Jf1Ga0", "Kq" * 300 + "7" + "Xv9" * 200,
     "Qz7 " + "kP9xT2vLm4Zq8Rw1Yb6Nc3 " * 3 + "\n", "ſecret=abcdef", "secret" + " " * 3000 + "=abcdefg",
 ]
 
