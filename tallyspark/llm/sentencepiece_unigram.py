@@ -19,14 +19,18 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.common import slices
+
 MARKER = "▁"
 #: Fixed value: how far an unknown character scores below the least piece.
 UNKNOWN_PENALTY = 10.0
 #: Code points of documents whose new words are encoded together; words that a worker remembers.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 CACHE_WORDS = 500_000
-#: Words that are encoded together, and the longest that is not cut for it.
+#: Words that are encoded together.
 BATCH_WORDS = 20_000
+#: Cells of the tables that are filled together; a single longer word gets a table of its own.
+TABLE_CELLS = 2_000_000
 _WORD = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
 
 
@@ -120,8 +124,8 @@ class UnigramModel:
         order = sorted(range(len(words)), key=lambda i: len(raw[i]))
         at = 0
         while at < len(order):  # words of like length together, in tables of bounded size
-            size = max(1, min(BATCH_WORDS, 4_000_000 // (len(raw[order[at]]) + 1)))
-            while size > 1 and size * (len(raw[order[min(at + size, len(order)) - 1]]) + 1) > 8_000_000:
+            size = max(1, min(BATCH_WORDS, TABLE_CELLS // (len(raw[order[at]]) + 1)))
+            while size > 1 and size * (len(raw[order[min(at + size, len(order)) - 1]]) + 1) > TABLE_CELLS:
                 size //= 2
             some = order[at : at + size]
             for i, ids in zip(some, self._viterbi([raw[i] for i in some])):
@@ -280,7 +284,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = [x for some in _groups(texts) for x in encoder.encode_many(some)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
@@ -294,7 +298,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     model = _model(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if x is None else model.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
