@@ -289,7 +289,8 @@ def revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
     """The ARC files below `arc_path` as WARC files below `warc_path`, one for one."""
     records = written(arc_records(spark, arc_path), "warc-records")
-    known = revisits(records, min_bytes).withColumnRenamed("path", "_path")
+    # Written, so that its size is known: Spark broadcasts it only if it is small, and else moves the files.
+    known = written(revisits(records, min_bytes), "warc-revisits").withColumnRenamed("path", "_path")
     files = _files(spark, arc_path)
     files = files.join(known, files["path"] == known["_path"], "left").select("content", "revisits")
 
