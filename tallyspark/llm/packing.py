@@ -19,21 +19,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyspark.llm.common import written
+from tallyspark.llm.common import slices, written
 
 WINDOW = 4096
 END_ID = 2
 #: Pre-tokens whose ids a worker remembers.
 CACHE_PRE_TOKENS = 600_000
-#: Characters of texts whose new pre-tokens are learned at once.
-LEARN_CHARS = 4_000_000
+#: Characters of plain texts that are split together.
+LEARN_CHARS = 2_000_000
 #: A text without any of these is plain: Latin letters, ASCII marks and spaces, so that it is
 #: composed already and every library agrees on its letters, digits and spaces.
 NOT_PLAIN = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xbf\xd7\xf7\u0130\u0180-\U0010ffff]")
 #: The pattern of the word-level tokenizer for lower-cased plain texts; contractions come first.
 PLAIN = "[a-z\xdf-\u017f]+|[0-9]|[^a-z0-9\xdf-\u017f\t-\r ]+"
 WITH_APOSTROPHE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|" + PLAIN)
-WITHOUT_APOSTROPHE = re.compile(PLAIN)
+#: The same classes for the bytes of such texts: space 0, letter 1 (all bytes beyond ASCII), digit 2, mark 3.
+BYTE_CLASS = np.array(
+    [1 if c >= 128 or 97 <= c <= 122 else 2 if 48 <= c <= 57 else 0 if c == 32 or 9 <= c <= 13 else 3 for c in range(256)],
+    np.uint8,
+)
 
 
 @lru_cache(maxsize=4)
@@ -54,6 +58,7 @@ class Encoder:
         self.tokenizer = _tokenizer(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = _id_type(path)
+        self.width = int(self.kind[-1])
         self.pieces: dict[str, bytes] = {}
         self.cache = cache
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -78,31 +83,56 @@ class Encoder:
                 for p, alone in zip(chunk, self._encode(chunk)):
                     self.pieces[p] = np.array(alone, self.kind).tobytes()
 
-    def _split(self, text: str) -> list[str] | None:
-        if NOT_PLAIN.search(text) or any(s in text for s in self.special):
-            return None
-        return (WITH_APOSTROPHE if "'" in text else WITHOUT_APOSTROPHE).findall(text.lower())
+    def _ids(self, pre_tokens: list[str]) -> list[bytes]:
+        """Ids of distinct pre-tokens; the library sees those that the worker does not remember."""
+        if len(self.pieces) > self.cache:
+            self.pieces.clear()
+        ids = self.pieces
+        self._learn([p for p in pre_tokens if p not in ids])
+        return [ids[p] for p in pre_tokens]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Plain texts without apostrophes: split by the classes of their bytes, all together."""
+        raw = [t.lower().encode() for t in texts]
+        data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+        kind = BYTE_CLASS[data]
+        before = np.append(np.uint8(0), kind[:-1])
+        first = np.flatnonzero((kind != 0) & ((kind == 2) | (kind != before)))
+        seen = kind != 0
+        at = np.append(np.cumsum(seen)[first] - 1, seen.sum()).astype(np.int32)
+        found = pa.Array.from_buffers(
+            pa.string(), len(first), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data[seen].tobytes())]
+        ).dictionary_encode()
+        ids = self._ids(found.dictionary.to_pylist())
+        size = np.array([len(x) for x in ids], np.int64) // self.width
+        begin = np.cumsum(size) - size
+        which = found.indices.to_numpy()
+        each = size[which]
+        total = np.cumsum(each)
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        out = flat[np.repeat(begin[which] - total + each, each) + np.arange(each.sum())]
+        ends = np.searchsorted(first, np.cumsum([len(r) + 1 for r in raw]))
+        cuts = np.append(0, total)[ends].tolist()
+        return [out[x:y].tobytes() for x, y in zip([0, *cuts], cuts)]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned integers of `kind`."""
-        out: list[bytes] = []
-        while len(out) < len(texts):
-            some, chars = [], 0
-            for text in texts[len(out) :]:
-                if some and chars + len(text) > LEARN_CHARS:
-                    break
-                some.append(text)
+        out: list[bytes | None] = [None] * len(texts)
+        plain, chars = [], 0
+        for i, text in enumerate(texts):
+            if NOT_PLAIN.search(text) or any(s in text for s in self.special):
+                out[i] = np.array(self._encode([text])[0], self.kind).tobytes()
+            elif "'" in text:
+                parts = WITH_APOSTROPHE.findall(text.lower())
+                ids = dict(zip(known := list(set(parts)), self._ids(known)))
+                out[i] = b"".join([ids[p] for p in parts])
+            else:
+                plain.append(i)
                 chars += len(text)
-            split = [self._split(t) for t in some]
-            if len(self.pieces) > self.cache:
-                self.pieces.clear()
-            ids = self.pieces
-            self._learn([p for p in set().union(*(s for s in split if s is not None)) if p not in ids])
-            for text, parts in zip(some, split):
-                if parts is None:
-                    out.append(np.array(self._encode([text])[0], self.kind).tobytes())
-                else:
-                    out.append(b"".join([ids[p] for p in parts]))
+            if plain and (chars > LEARN_CHARS or i + 1 == len(texts)):
+                for k, ids in zip(plain, self._plain([texts[k] for k in plain])):
+                    out[k] = ids
+                plain, chars = [], 0
         return out
 
 
@@ -127,10 +157,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         encoder, part, before = Encoder(path), TaskContext.get().partitionId(), 0
         last = np.array([end_id], encoder.kind).tobytes()
         width = len(last)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            if not texts:
-                continue
             ids = [x + last for x in encoder.encode_many(texts)]
             n = np.array([len(x) // width for x in ids], np.int64)
             at = before + np.cumsum(n) - n
@@ -175,7 +203,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, ids, begin in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 n, at = len(ids) // width, 0
