@@ -287,7 +287,8 @@ def near_duplicates(
         (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"),
     )
     found = written(found, "vector-links")
-    ids = found.groupBy("component").agg(F.min("first").alias("component_id"))
+    # Cut, so that both sides of the join are dealt out anew and Spark splits a large component.
+    ids = cut(found.groupBy("component").agg(F.min("first").alias("component_id")))
     known = found.join(ids, "component").select(F.col("vec").alias("_vec"), "n_links", "component_id")
     out = rows.join(known, rows["vec"] == known["_vec"], "left").select(
         "vec_id",
