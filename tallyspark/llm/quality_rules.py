@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import SPACE, WORD, words
+from tallyspark.llm.common import SPACE, WORD, words, written
 
 #: A line in more different documents of one host than this is boilerplate.
 MAX_DOCUMENTS = 200
@@ -130,7 +130,9 @@ def removed_words(
 ) -> DataFrame:
     """Words in removed lines, for documents that have any: `_id`, `_host`, `_text_hash`, `n_removed_words`."""
     lines = short_lines(docs, max_line_words)
-    hit = lines.join(shared_lines(lines, max_documents), ["_host", "_line_hash"])
+    # Written, so that its size is known: a small one is broadcast; beside a large one Spark splits hot lines.
+    shared = written(shared_lines(lines, max_documents), "shared-lines")
+    hit = lines.join(shared, ["_host", "_line_hash"])
     key = ["_id", "_host", "_text_hash"]
     once = hit.groupBy(*key, "_pos").agg(F.max("_line_words").alias("_n"))
     return once.groupBy(*key).agg(F.sum("_n").alias("n_removed_words"))
