@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLO
     linked = cut(nodes.join(linked, nodes["fp"] == linked["node"], "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
     ))
-    ids = linked.groupBy("component").agg(F.min("first").alias("component_id"))
+    # Cut, so that both sides of the join are dealt out anew and Spark splits a large component.
+    ids = cut(linked.groupBy("component").agg(F.min("first").alias("component_id")))
     by_fp = cut(linked.join(ids, "component").select(F.col("fp").alias("_fp"), "component_id"))
     return fps.join(by_fp, fps["fp"] == by_fp["_fp"]).select("doc_id", "fp", "component_id")
 
