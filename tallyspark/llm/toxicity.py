@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import free_prefix, written
+from tallyspark.llm.common import free_prefix, slices, written
 
 #: Bounds of the training sample, in documents, and of the features kept.
 MAX_POSITIVES = 4000
@@ -137,7 +137,7 @@ def train(
     toxic = learn.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [sorted(features(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.binary()))], ["positive", "words"])
 
@@ -162,7 +162,7 @@ def train(
     place = {w: i for i, w in enumerate(vocabulary)}
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [
                 np.array([place[w] for w in ws if w in place], "<u2").tobytes() for ws in batch.column(1).to_pylist()
             ]
