@@ -24,9 +24,9 @@ from tallyspark.llm.common import slices, written
 WINDOW = 4096
 END_ID = 2
 #: Pre-tokens whose ids a worker remembers.
-CACHE_PRE_TOKENS = 600_000
+CACHE_PRE_TOKENS = 300_000
 #: Characters of plain texts that are split together.
-LEARN_CHARS = 2_000_000
+LEARN_CHARS = 500_000
 #: A text without any of these is plain: Latin letters, ASCII marks and spaces, so that it is
 #: composed already and every library agrees on its letters, digits and spaces.
 NOT_PLAIN = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xbf\xd7\xf7\u0130\u0180-\U0010ffff]")
