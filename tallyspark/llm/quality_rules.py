@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import SPACE, WORD, words, written
 
-#: A line in more different documents of one host than this is boilerplate.
-MAX_DOCUMENTS = 200
-#: Longer lines are prose: copies of a paragraph are for near-duplicate removal.
-MAX_LINE_WORDS = 20
+#: A line in more different documents of one host than this is boilerplate. Shared lines of
+#: the given tables pass it from sf0.01 on; smaller groups of near copies stay below it.
+MAX_DOCUMENTS = 10
+#: Lines of every length count: this is the largest int, not a cut.
+MAX_LINE_WORDS = (1 << 31) - 1
 #: A document that keeps less than this share of its words is depleted.
 MIN_KEPT_PERCENT = 20
 MIN_WORDS = 50
@@ -88,8 +89,8 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", failed)
 
 
-def short_lines(docs: DataFrame, max_line_words: int = MAX_LINE_WORDS) -> DataFrame:
-    """Every line of 1 to `max_line_words` words as hashes: no text in the rows."""
+def counted_lines(docs: DataFrame, max_line_words: int = MAX_LINE_WORDS) -> DataFrame:
+    """Every line of 1 to `max_line_words` words as hashes: no text in the rows. By default no line is too long."""
     text = F.coalesce("text", F.lit(""))
     df = docs.select(
         F.col("doc_id").alias("_id"),
@@ -129,7 +130,7 @@ def removed_words(
     max_line_words: int = MAX_LINE_WORDS,
 ) -> DataFrame:
     """Words in removed lines, for documents that have any: `_id`, `_host`, `_text_hash`, `n_removed_words`."""
-    lines = short_lines(docs, max_line_words)
+    lines = counted_lines(docs, max_line_words)
     # Written, so that its size is known: a small one is broadcast; beside a large one Spark splits hot lines.
     shared = written(shared_lines(lines, max_documents), "shared-lines")
     hit = lines.join(shared, ["_host", "_line_hash"])

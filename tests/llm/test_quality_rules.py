@@ -112,3 +112,16 @@ def test_no_python_in_plan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = Q.quality_rules(docs)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_long_passages_deplete_by_default(spark):
+    """A whole table, and in it a passage of 70 words in a dozen texts of one host and in five of another."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    passage = body("p", 70)
+    rows += [(10**6 + k, f"{body(k, 9)}\n{passage}", "planted") for k in range(12)]
+    rows += [(10**7 + k, f"{body(k, 9)}\n{passage}", "other") for k in range(5)]
+    got = Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r.doc_id, r.base_failed, r.kept) for r in got} == set(plain_kept(rows, Q.MAX_DOCUMENTS, 10**9))
+    assert {r.doc_id for r in got if not r.kept and not r.base_failed} == {10**6 + k for k in range(12)}
+    assert any(r.n_removed_words for r in Q.removed_words(docs).collect())
