@@ -129,14 +129,19 @@ def removed_words(
     max_documents: int = MAX_DOCUMENTS,
     max_line_words: int = MAX_LINE_WORDS,
 ) -> DataFrame:
-    """Words in removed lines, for documents that have any: `_id`, `_host`, `_text_hash`, `n_removed_words`."""
+    """Removed lines of documents that have any: `_id`, `_host`, `_text_hash`, `n_removed_words`, `_removed`.
+
+    `_removed` are the positions of the lines, counted from 0, in no order.
+    """
     lines = counted_lines(docs, max_line_words)
     # Written, so that its size is known: a small one is broadcast; beside a large one Spark splits hot lines.
     shared = written(shared_lines(lines, max_documents), "shared-lines")
     hit = lines.join(shared, ["_host", "_line_hash"])
     key = ["_id", "_host", "_text_hash"]
     once = hit.groupBy(*key, "_pos").agg(F.max("_line_words").alias("_n"))
-    return once.groupBy(*key).agg(F.sum("_n").alias("n_removed_words"))
+    return once.groupBy(*key).agg(
+        F.sum("_n").alias("n_removed_words"), F.collect_list("_pos").alias("_removed")
+    )
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
@@ -179,23 +184,35 @@ def quality_rules(
         ).alias("kept"),
         stats["_host"],
         stats["_text_hash"],
+        removed["_removed"],
     )
 
 
+def _without(text: Column, removed: Column) -> Column:
+    """`text` without the lines at the positions `removed`."""
+    lines = F.split(text, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+    return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+
 def keep_documents(docs: DataFrame, **limits: int) -> DataFrame:
-    """The rows of `docs` that the rules keep, with all their columns.
+    """The rows of `docs` that the rules keep, their `text` without the removed lines.
 
-    Only keys of rejected documents are joined, so texts move once at most.
+    The rules judge the text as it was. Other columns, and texts without a
+    removed line, stay as they are. Only keys and positions are joined, so
+    texts move once at most.
     """
     verdict = quality_rules(docs, **limits)
-    gone = (
-        verdict.where(~F.col("kept"))
-        .select(F.col("doc_id").alias("_id"), "_host", "_text_hash")
-        .distinct()
+    edits = (
+        verdict.where(~F.col("kept") | F.col("_removed").isNotNull())
+        .select(F.col("doc_id").alias("_id"), "_host", "_text_hash", F.col("kept").alias("_keep"), "_removed")
+        .dropDuplicates(["_id", "_host", "_text_hash"])
     )
     same = (
-        docs["doc_id"].eqNullSafe(gone["_id"])
-        & (F.coalesce(docs["source"], F.lit("")) == gone["_host"])
-        & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_text_hash"])
+        docs["doc_id"].eqNullSafe(edits["_id"])
+        & (F.coalesce(docs["source"], F.lit("")) == edits["_host"])
+        & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == edits["_text_hash"])
     )
-    return docs.join(gone, same, "left_anti")
+    text = F.when(edits["_removed"].isNull(), docs["text"]).otherwise(_without(docs["text"], edits["_removed"]))
+    joined = docs.join(edits, same, "left").where(F.coalesce(edits["_keep"], F.lit(True)))
+    return joined.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns))

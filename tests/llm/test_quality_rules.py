@@ -125,3 +125,17 @@ def test_long_passages_deplete_by_default(spark):
     assert {(r.doc_id, r.base_failed, r.kept) for r in got} == set(plain_kept(rows, Q.MAX_DOCUMENTS, 10**9))
     assert {r.doc_id for r in got if not r.kept and not r.base_failed} == {10**6 + k for k in range(12)}
     assert any(r.n_removed_words for r in Q.removed_words(docs).collect())
+
+
+def test_removed_lines_leave_the_kept_texts(spark):
+    menu = "Menu  of THE site"
+    rows = [(k, f"{menu}\n\n{body(k)}\n menu of the site\t\n{body(k, 5)}\n{menu}", "h", "x") for k in range(5)]
+    rows += [(None, f"{body(90)}\n{menu}\n", "h", "x")] * 2
+    rows += [(6, f"{menu}\n{body(91)}\r\n", None, "x"), (7, f"{menu}\n" * 50 + body(92, 9), "h", "x"), (8, None, "h", "x")]
+    want = [(k, f"\n{body(k)}\n{body(k, 5)}", "h", "x") for k in range(5)]
+    want += [(None, f"{body(90)}\n", "h", "x")] * 2 + [rows[7]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert Counter(map(tuple, Q.keep_documents(docs, max_documents=3).collect())) == Counter(want)
+    clashing = docs.withColumns({c: F.lit("y") for c in ("_id", "_host", "_text_hash", "_keep", "_removed")})
+    kept = Q.keep_documents(clashing, max_documents=3)
+    assert kept.columns == clashing.columns and {r._removed for r in kept.collect()} == {"y"}
