@@ -25,6 +25,8 @@ from tallyspark.llm.components import components
 THRESHOLD = 0.95
 NEIGHBOURS = 10
 TREES = 6
+#: Least chance that two vectors at the threshold share a first cell: those that are alone with each other meet only there.
+MEETING = 0.995
 #: Vectors of a cell at the start, and of a piece of a large cell or component: what one task compares.
 CELL = 512
 #: Less similar vectors are no neighbours: they lead nowhere near the threshold.
@@ -107,12 +109,23 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
+def cell_bits(n: int) -> int:
+    """Hyperplanes of a tree, so that a cell has about `CELL` of `n` vectors."""
+    return max(0, math.ceil(math.log2(max(1, n) / CELL)))
+
+
+def trees_needed(n: int, threshold: float) -> int:
+    """Trees in which two vectors at the threshold share a cell with a chance of `MEETING`; more for more vectors."""
+    same = (1 - math.acos(min(1.0, threshold)) / math.pi) ** cell_bits(n)
+    return 1 if same >= MEETING else math.ceil(math.log(1 - MEETING) / math.log(1 - same))
+
+
 def first_lists(classes: DataFrame, n: int, k: int, trees: int, floor: float, seed: int) -> DataFrame:
     """Neighbour lists from cells: vectors on the same side of the same random hyperplanes.
 
     A cell of more than twice `CELL` vectors is dealt out at random into pieces.
     """
-    bits = max(0, math.ceil(math.log2(max(1, n) / CELL)))
+    bits = cell_bits(n)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +198,7 @@ def neighbour_lists(classes: DataFrame, n: int, k: int, trees: int, floor: float
 
 
 def enlarged(classes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """(`c`, `linked`): vectors linked to each member, for whole components (`c`, `component`).
+    """(`c`, `linked`, `others`): vectors and classes linked to each member, for whole components (`c`, `component`).
 
     A component is dealt out into pieces of at most about `CELL` vectors, and
     every pair of pieces is compared by a task of its own; only sums leave it.
@@ -207,16 +220,19 @@ def enlarged(classes: DataFrame, members: DataFrame, threshold: float) -> DataFr
         if frame["p"].iloc[0] != frame["q"].iloc[0]:
             links &= own[:, None] != own[None, :]
         np.fill_diagonal(links, False)
-        return pd.DataFrame({"c": frame["c"], "linked": links @ n})
+        return pd.DataFrame({"c": frame["c"], "linked": links @ n, "others": links.sum(axis=1)})
 
-    sums = dealt.groupBy("component", "p", "q").applyInPandas(count, "c long, linked long")
-    return sums.groupBy("c").agg(F.sum("linked").alias("linked"))
+    sums = dealt.groupBy("component", "p", "q").applyInPandas(count, "c long, linked long, others long")
+    return sums.groupBy("c").agg(F.sum("linked").alias("linked"), F.sum("others").alias("others"))
 
 
 def linked_classes(
     classes: DataFrame, threshold: float, n: int, k: int, trees: int, floor: float, seed: int
 ) -> DataFrame:
-    """(`c`, `linked`, `component`) of the classes that have links, `component` as a class."""
+    """(`c`, `linked`, `others`, `component`) of the classes that have links, `component` as a class.
+
+    `linked` counts vectors, `others` classes: copies once.
+    """
     lists = neighbour_lists(classes, n, k, trees, floor, seed)
     links = lists.where(F.col("sim") >= threshold)
     both = cut(links.select("u", "v").union(links.select("v", "u")).distinct())
@@ -227,13 +243,20 @@ def linked_classes(
     counted = both.join(large.select(F.col("c").alias("u")), "u", "left_anti").join(
         classes.select(F.col("c").alias("v"), "n"), "v"
     )
-    counted = counted.groupBy(F.col("u").alias("c")).agg(F.sum("n").alias("linked"))
+    counted = counted.groupBy(F.col("u").alias("c")).agg(F.sum("n").alias("linked"), F.count("*").alias("others"))
     counted = counted.union(enlarged(classes, large, threshold))
     return cut(counted.join(groups.withColumnRenamed("node", "c"), "c"))
 
 
-def audited_recall(classes: DataFrame, linked: DataFrame, threshold: float, most: int = AUDITED) -> float:
-    """Share of the links of at most `most` classes that were found, by brute force against all vectors."""
+def audited_recall(
+    classes: DataFrame, linked: DataFrame, threshold: float, most: int = AUDITED, few: int = NEIGHBOURS
+) -> tuple[float, float]:
+    """Mean share of its links that a class got, for at most `most` classes, by brute force against all vectors.
+
+    Every audited class that has links weighs the same and copies count once,
+    so that a large group hides no small one. The second figure is that of the
+    classes with at most `few` links.
+    """
     asked = classes.orderBy(F.xxhash64("c"), "c").limit(most).select("c", "dim", "vec").collect()
     by_dim: dict[int, list] = {}
     for r in asked:
@@ -247,12 +270,13 @@ def audited_recall(classes: DataFrame, linked: DataFrame, threshold: float, most
                 ids = np.array([c for c, _ in by_dim[dim]])
                 hit = _unit([v for _, v in by_dim[dim]]) @ _unit(some["vec"].tolist()).T >= threshold
                 hit &= ids[:, None] != some["c"].to_numpy()[None, :]
-                yield pd.DataFrame({"c": ids, "actual": hit @ some["n"].to_numpy()})
+                yield pd.DataFrame({"c": ids, "actual": hit.sum(axis=1)})
 
-    actual = classes.select("c", "dim", "vec", "n").mapInPandas(count, "c long, actual long")
+    actual = classes.select("c", "dim", "vec").mapInPandas(count, "c long, actual long")
     actual = actual.groupBy("c").agg(F.sum("actual").alias("actual")).where("actual > 0")
-    row = actual.join(linked, "c", "left").agg(F.sum(F.coalesce("linked", F.lit(0))), F.sum("actual")).first()
-    return 1.0 if not row[1] else row[0] / row[1]
+    share = F.coalesce("others", F.lit(0)) / F.col("actual")
+    row = actual.join(linked, "c", "left").agg(F.avg(share), F.avg(F.when(F.col("actual") <= few, share))).first()
+    return tuple(1.0 if x is None else x for x in row)
 
 
 def near_duplicates(
@@ -275,13 +299,14 @@ def near_duplicates(
     """
     classes, rows = vector_classes(vectors)
     n = classes.count()
+    trees = max(trees, trees_needed(n, threshold))
     for turn in range(MAX_SEARCHES):
         linked = linked_classes(classes, threshold, n, neighbours << turn, trees << turn, floor, seed + turn)
-        recall = audited_recall(classes, linked, threshold)
-        if recall >= MIN_RECALL:
+        recall, recall_few = audited_recall(classes, linked, threshold)
+        if min(recall, recall_few) >= MIN_RECALL:
             break
     if report is not None:
-        report |= {"recall": recall, "searches": turn + 1}
+        report |= {"recall": recall, "recall_few": recall_few, "searches": turn + 1}
     found = classes.join(linked, "c", "left").select(
         "vec", "first", F.coalesce("component", "c").alias("component"),
         (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"),

@@ -67,3 +67,38 @@ def test_large_groups_and_odd_rows(spark):
 
 def test_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def hot_group_and_pairs(n_hot=1000, n_pairs=1000, dim=48):
+    """A third of the vectors around one centre, the others in pairs that are alone with each other."""
+    rng = np.random.default_rng(8)
+    vecs = list(rng.standard_normal(dim) + 0.02 * rng.standard_normal((n_hot, dim)))
+    for _ in range(n_pairs):
+        x = rng.standard_normal(dim)
+        vecs += [x, x + 0.22 * rng.standard_normal(dim)]
+    return [[float(x) for x in np.asarray(v, np.float32)] for v in vecs]
+
+
+def test_a_hot_group_hides_no_lost_pairs(spark):
+    vecs = hot_group_and_pairs(300, 300)
+    classes, _ = N.vector_classes(spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<float>"))
+    want = brute(range(len(vecs)), vecs)
+    first = {r["c"]: r["first"] for r in classes.collect()}
+    found = [(c, want[i][0], want[i][0]) for c, i in first.items() if i < 300]
+    linked = spark.createDataFrame(found, "c long, linked long, others long")
+    recall, few = N.audited_recall(classes, linked, 0.95)
+    assert recall < 0.6 and few == 0
+
+
+def test_pairs_meet_however_many_cells_there_are(spark, monkeypatch):
+    """Cells as small, against the table, as those of a million vectors."""
+    for n in (10**2, 10**4, 10**6, 10**7):
+        same = (1 - np.arccos(0.95) / np.pi) ** N.cell_bits(n)
+        assert 1 - (1 - same) ** N.trees_needed(n, 0.95) >= 0.995
+    monkeypatch.setattr(N, "CELL", 4)
+    vecs = hot_group_and_pairs(0, 1500)
+    report = {}
+    docs = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in N.near_duplicates(docs, report=report).collect()}
+    want = {i: m for i, (m, _) in brute(range(len(vecs)), vecs).items()}
+    assert report["searches"] == 1 and sum(got.values()) >= 0.98 * sum(want.values())
