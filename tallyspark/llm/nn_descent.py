@@ -5,7 +5,8 @@ joining the neighbours of each vector with each other, until few lists
 change. Lists that are full of links are enlarged to their whole component,
 compared in blocks. Recall is audited against brute force for a stated set of
 vectors; where it falls short, the search runs again with more cells and
-longer lists. Every link is verified in double precision.
+longer lists, and what all searches found counts. If that falls short too, all
+vectors are compared in blocks. Every link is verified in double precision.
 """
 
 from __future__ import annotations
@@ -197,14 +198,10 @@ def neighbour_lists(classes: DataFrame, n: int, k: int, trees: int, floor: float
     return lists
 
 
-def enlarged(classes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """(`c`, `linked`, `others`): vectors and classes linked to each member, for whole components (`c`, `component`).
-
-    A component is dealt out into pieces of at most about `CELL` vectors, and
-    every pair of pieces is compared by a task of its own; only sums leave it.
-    """
+def block_pairs(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """Components (`c`, `component`) dealt out into pieces of about `CELL` vectors, a group (`p`, `q`) for every pair of pieces."""
     sizes = written(members.groupBy("component").agg(F.count("*").alias("m")), "vector-component-sizes")
-    dealt = (
+    return (
         members.join(sizes, "component")
         .withColumn("pieces", F.ceil(F.col("m") / CELL).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("c"), F.col("pieces")).cast("int"))
@@ -214,6 +211,14 @@ def enlarged(classes: DataFrame, members: DataFrame, threshold: float) -> DataFr
         .select("component", "p", "q", "own", "c", "vec", "n")
     )
 
+
+def enlarged(classes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """(`c`, `linked`, `others`): vectors and classes linked to each member, for whole components (`c`, `component`).
+
+    Every pair of pieces is compared by a task of its own; only sums leave it.
+    """
+    dealt = block_pairs(classes, members)
+
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         unit, n, own = _unit(frame["vec"].tolist()), frame["n"].to_numpy(), frame["own"].to_numpy()
         links = unit @ unit.T >= threshold
@@ -226,18 +231,23 @@ def enlarged(classes: DataFrame, members: DataFrame, threshold: float) -> DataFr
     return sums.groupBy("c").agg(F.sum("linked").alias("linked"), F.sum("others").alias("others"))
 
 
-def linked_classes(
+def search(
     classes: DataFrame, threshold: float, n: int, k: int, trees: int, floor: float, seed: int
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
+    """Links (`u`, `v`) in both directions, and the classes (`node`) whose lists are full of links."""
+    lists = neighbour_lists(classes, n, k, trees, floor, seed)
+    links = lists.where(F.col("sim") >= threshold)
+    both = cut(links.select("u", "v").union(links.select("v", "u")).distinct())
+    full = links.groupBy("u").agg(F.count("*").alias("m")).where(F.col("m") >= k).select(F.col("u").alias("node"))
+    return both, cut(full)
+
+
+def linked_classes(classes: DataFrame, both: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
     """(`c`, `linked`, `others`, `component`) of the classes that have links, `component` as a class.
 
     `linked` counts vectors, `others` classes: copies once.
     """
-    lists = neighbour_lists(classes, n, k, trees, floor, seed)
-    links = lists.where(F.col("sim") >= threshold)
-    both = cut(links.select("u", "v").union(links.select("v", "u")).distinct())
     groups = cut(components(both.select(F.col("u").alias("a"), F.col("v").alias("b"))))
-    full = links.groupBy("u").agg(F.count("*").alias("m")).where(F.col("m") >= k).select(F.col("u").alias("node"))
     saturated = groups.join(full, "node").select("component").distinct()
     large = cut(groups.join(saturated, "component", "left_semi").select(F.col("node").alias("c"), "component"))
     counted = both.join(large.select(F.col("c").alias("u")), "u", "left_anti").join(
@@ -248,6 +258,32 @@ def linked_classes(
     return cut(counted.join(groups.withColumnRenamed("node", "c"), "c"))
 
 
+def compared_classes(classes: DataFrame, threshold: float) -> DataFrame:
+    """`linked_classes` by comparing all classes of a dimension in blocks: exact, and quadratic in their number.
+
+    A block gives counts, and a star for each of its components instead of all
+    links.
+    """
+    members = cut(classes.select("c", F.col("dim").cast("long").alias("component")))
+    counted = cut(enlarged(classes, members, threshold).where("others > 0"))
+    some = members.join(counted.select("c"), "c", "left_semi")
+
+    def stars(frame: pd.DataFrame) -> pd.DataFrame:
+        unit, ids = _unit(frame["vec"].tolist()), frame["c"].to_numpy()
+        links = unit @ unit.T >= threshold
+        label = np.arange(len(ids))
+        while True:
+            low = np.minimum(label, np.where(links, label[None, :], len(ids)).min(axis=1))
+            if (low == label).all():
+                break
+            label = low
+        return pd.DataFrame({"a": ids, "b": ids[label]})
+
+    pairs = block_pairs(classes, some).groupBy("component", "p", "q").applyInPandas(stars, "a long, b long")
+    groups = components(pairs.where("a <> b"))
+    return cut(counted.join(groups.withColumnRenamed("node", "c"), "c"))
+
+
 def audited_recall(
     classes: DataFrame, linked: DataFrame, threshold: float, most: int = AUDITED, few: int = NEIGHBOURS
 ) -> tuple[float, float]:
@@ -295,16 +331,25 @@ def near_duplicates(
     nothing, vectors of different length not with each other. Rows that
     repeat are linked vectors with a row each. A null `vec_id` is never a
     component's id unless it is alone. An empty table gives an empty result;
-    other columns are ignored. `report` receives the audited recall.
+    other columns are ignored. `report` receives the audited recall. No result
+    is returned below `MIN_RECALL`: after `MAX_SEARCHES` all vectors are compared.
     """
     classes, rows = vector_classes(vectors)
     n = classes.count()
     trees = max(trees, trees_needed(n, threshold))
+    both = full = None
     for turn in range(MAX_SEARCHES):
-        linked = linked_classes(classes, threshold, n, neighbours << turn, trees << turn, floor, seed + turn)
+        found = search(classes, threshold, n, neighbours << turn, trees << turn, floor, seed + turn)
+        # Every link was verified: what an earlier search found stays.
+        both = found[0] if both is None else cut(both.union(found[0]).distinct())
+        full = found[1] if full is None else cut(full.union(found[1]).distinct())
+        linked = linked_classes(classes, both, full, threshold)
         recall, recall_few = audited_recall(classes, linked, threshold)
         if min(recall, recall_few) >= MIN_RECALL:
             break
+    else:
+        linked = compared_classes(classes, threshold)
+        recall, recall_few = audited_recall(classes, linked, threshold)
     if report is not None:
         report |= {"recall": recall, "recall_few": recall_few, "searches": turn + 1}
     found = classes.join(linked, "c", "left").select(

@@ -102,3 +102,25 @@ def test_pairs_meet_however_many_cells_there_are(spark, monkeypatch):
     got = {r.vec_id: r.n_links for r in N.near_duplicates(docs, report=report).collect()}
     want = {i: m for i, (m, _) in brute(range(len(vecs)), vecs).items()}
     assert report["searches"] == 1 and sum(got.values()) >= 0.98 * sum(want.values())
+
+
+def test_searches_add_up_and_end_in_a_comparison_of_all(spark, monkeypatch):
+    """Each search finds a part of the pairs only; then none finds any."""
+    vecs = hot_group_and_pairs(0, 60) + hot_group_and_pairs(700, 0)
+    docs = spark.createDataFrame([(i, v) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>")
+    want = brute(range(len(vecs)), vecs)
+    real, turns = N.neighbour_lists, []
+
+    def part(classes, *args):
+        turns.append(len(turns))
+        lists = real(classes, *args)
+        odd = classes.select(N.F.col("c").alias("u"), (N.F.col("first") < 120).alias("pair"), (N.F.floor(N.F.col("first") / 2) % 2).alias("odd"))
+        return lists.join(odd, "u").where(~N.F.col("pair") | (N.F.col("odd") == turns[-1] % 2)).select("u", "v", "sim")
+
+    monkeypatch.setattr(N, "neighbour_lists", part)
+    report = {}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in N.near_duplicates(docs, report=report).collect()}
+    assert got == want and report["searches"] == 2
+    monkeypatch.setattr(N, "neighbour_lists", lambda *args: real(*args).limit(0))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in N.near_duplicates(docs, report=report).collect()}
+    assert got == want and report["searches"] == 3 and report["recall"] == 1
