@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import cut, written
+from tallyspark.llm.common import cut, free_prefix, written
 from tallyspark.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -59,19 +59,24 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(`doc_id`, `fp`), `fp` as a signed long with the fingerprint's bits; null text: 0."""
+def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
+    """(`doc_id`, `fp`), `fp` as a signed long with the fingerprint's bits; null text: 0.
+
+    Then the columns `carried`, all of them long.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.columns
+            ids, texts, *more = batch.columns
             fps = np.array(
                 [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts], np.uint64
             )
-            yield pa.RecordBatch.from_arrays([ids, pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(fps.view(np.int64)), *more], ["doc_id", "fp", *carried])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    source = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *carried
+    )
+    return source.mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in carried)]))
 
 
 def block_masks(blocks: int = BLOCKS) -> list[int]:
@@ -208,6 +213,18 @@ def _calls(distinct: DataFrame) -> int:
     return max(64, distinct.count() // 4000)
 
 
+def _by_fingerprint(fps: DataFrame, max_bits: int, blocks: int, order: str) -> DataFrame:
+    """(`_fp`, `_first`): for each fingerprint of `fps` the least value of `order` in its component."""
+    nodes = cut(fps.groupBy("fp").agg(F.min(F.expr(order)).alias("first")))
+    linked = components(fingerprint_links(nodes, max_bits, blocks))
+    linked = cut(nodes.join(linked, nodes["fp"] == linked["node"], "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("component")
+    ))
+    # Cut, so that both sides of the join are dealt out anew and Spark splits a large component.
+    ids = cut(linked.groupBy("component").agg(F.min("first").alias("_first")))
+    return cut(linked.join(ids, "component").select(F.col("fp").alias("_fp"), "_first"))
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
     """(`doc_id`, `fp`, `component_id`) for every row of `docs` (`doc_id`, `text`).
 
@@ -219,27 +236,34 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLO
     unless it is alone there. Other columns are ignored.
     """
     fps = written(fingerprints(docs), "simhash-fingerprints")
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    linked = components(fingerprint_links(nodes, max_bits, blocks))
-    linked = cut(nodes.join(linked, nodes["fp"] == linked["node"], "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component")
-    ))
-    # Cut, so that both sides of the join are dealt out anew and Spark splits a large component.
-    ids = cut(linked.groupBy("component").agg(F.min("first").alias("component_id")))
-    by_fp = cut(linked.join(ids, "component").select(F.col("fp").alias("_fp"), "component_id"))
-    return fps.join(by_fp, fps["fp"] == by_fp["_fp"]).select("doc_id", "fp", "component_id")
+    by_fp = _by_fingerprint(fps, max_bits, blocks, "doc_id")
+    return fps.join(by_fp, fps["fp"] == by_fp["_fp"]).select("doc_id", "fp", F.col("_first").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """The rows of `docs` that stand for their component: those with its id.
+    """The rows of `docs` that stand for their component.
 
-    Of rows that repeat, with the same `doc_id` and text, all stay or go
-    together; a null `doc_id` that is alone in its component stays.
+    Its first row by `doc_id`, nulls last, then by the hash of the text. Rows
+    that repeat, with the same `doc_id` and text, all stay or go together; of
+    those without a `doc_id` one stays.
     """
-    groups = near_duplicates(docs, max_bits, blocks)
+    # A null text has another hash than an empty one.
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    fps = written(fingerprints(hashed, "text_hash"), "simhash-fingerprints")
+    row = "struct(doc_id is null as nameless, doc_id, text_hash)"
+    by_fp = _by_fingerprint(fps, max_bits, blocks, row)
     gone = (
-        groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("_gone"))
+        fps.join(by_fp, fps["fp"] == by_fp["_fp"])
+        .where(~F.expr(row).eqNullSafe(F.col("_first")))
+        .select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash"))
         .distinct()
     )
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+
+    def left(rows: DataFrame) -> DataFrame:
+        same = rows["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(rows["text"]) == gone["_gone_hash"])
+        return rows.join(gone, same, "left_anti")
+
+    # Without an id nothing tells equal texts apart: one of them is taken.
+    mark = free_prefix(docs, "_hash")
+    nameless = left(docs.where(docs["doc_id"].isNull())).withColumn(mark, F.xxhash64("text"))
+    return left(docs.where(docs["doc_id"].isNotNull())).union(nameless.dropDuplicates([mark]).drop(mark))

@@ -117,6 +117,15 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 3, 6, 7]
 
 
+def test_one_of_each_tells_rows_apart(spark):
+    """Several rows without an id, and an id with a copied text and one of its own."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(200)) for x in "abcd")
+    rows = [(1, a, "p", "q"), (None, a, "p", "q"), (None, b, "p", "q"), (None, b, "p", "r"), (None, c, "p", "q"),
+            (2, a, "p", "q"), (2, d, "p", "q"), (None, d + " more", "p", "q")]
+    kept = S.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept) == sorted([(1, a), (0, b), (0, c), (2, d)])
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert S.near_duplicates(docs).count() == 0 and S.one_of_each(docs).count() == 0
