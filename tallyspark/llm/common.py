@@ -17,12 +17,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder.
+    """A new folder below the shared checkpoint folder; whoever runs the job clears that folder.
 
-    Where no checkpoint folder is set, as in tests, the warehouse folder serves.
+    Where no checkpoint folder is set and Spark runs in one process, as in
+    tests, the warehouse folder serves. On a cluster an unset folder raises:
+    executors would write where others cannot read.
     """
-    warehouse = spark.conf.get("spark.sql.warehouse.dir")
-    return checkpoint_path(spark, f"{name}-{uuid.uuid4().hex}", warehouse)
+    master = spark.sparkContext.master
+    alone = master == "local" or master.startswith("local[")
+    fallback = spark.conf.get("spark.sql.warehouse.dir") if alone else None
+    return checkpoint_path(spark, f"{name}-{uuid.uuid4().hex}", fallback)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from tallyspark.llm import (
     token_counts,
     toxicity,
     warc,
+    wavelet,
 )
 
 
@@ -85,6 +86,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), path)
 
 
+def op12_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return wavelet.stored_documents(_read(spark, sf_dir, "documents"), path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_crf": op1_html_crf,
     "op2_simhash_pivots": op2_simhash_pivots,
@@ -96,4 +102,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nn_descent": op8_nn_descent,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op12_wavelet_shards": op12_wavelet_shards,
 }
