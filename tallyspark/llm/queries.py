@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import (
+    alignment,
     html_extraction,
     nn_descent,
     packing,
@@ -86,6 +87,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), path)
 
 
+def op11_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.alignment(_read(spark, sf_dir, "documents"), *paths)
+
+
 def op12_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return wavelet.stored_documents(_read(spark, sf_dir, "documents"), path)
@@ -102,5 +108,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nn_descent": op8_nn_descent,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_lockstep_alignment": op11_lockstep_alignment,
     "op12_wavelet_shards": op12_wavelet_shards,
 }
