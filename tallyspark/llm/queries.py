@@ -17,6 +17,7 @@ from tallyspark.llm import (
     secret_scan,
     sentencepiece_unigram,
     simhash,
+    spelling,
     token_counts,
     toxicity,
     warc,
@@ -97,6 +98,10 @@ def op12_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.stored_documents(_read(spark, sf_dir, "documents"), path)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_crf": op1_html_crf,
     "op2_simhash_pivots": op2_simhash_pivots,
@@ -110,4 +115,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_lockstep_alignment": op11_lockstep_alignment,
     "op12_wavelet_shards": op12_wavelet_shards,
+    "op13_spelling_variants": op13_spelling_variants,
 }
