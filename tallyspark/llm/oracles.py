@@ -39,12 +39,12 @@ covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(0, 3) AS step
 lines AS (
   SELECT r, host, txt, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS line
   FROM (SELECT r, host, txt, unnest(ls) AS line FROM w)),
-short AS (
-  SELECT *, len(string_split(line, ' ')) AS n FROM lines
-  WHERE len(string_split(line, ' ')) <= {quality_rules.MAX_LINE_WORDS}),
+texts AS (SELECT host, count(DISTINCT txt) AS texts FROM t GROUP BY host),
 shared AS (
-  SELECT host, line FROM short GROUP BY 1, 2 HAVING count(DISTINCT txt) > {quality_rules.MAX_DOCUMENTS}),
-gone AS (SELECT r, sum(n) AS n FROM short SEMI JOIN shared USING (host, line) GROUP BY r),
+  SELECT host, line FROM lines JOIN texts USING (host) GROUP BY host, line, texts
+  HAVING count(DISTINCT txt) >= {quality_rules.MIN_DOCUMENTS} AND count(DISTINCT txt) > CAST({quality_rules.MIN_SHARE} AS DOUBLE) * texts),
+gone AS (
+  SELECT r, sum(len(string_split(line, ' '))) AS n FROM lines SEMI JOIN shared USING (host, line) GROUP BY r),
 s AS (
   SELECT w.r, doc_id, CAST(len(ws) AS BIGINT) AS n_words,
          CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,

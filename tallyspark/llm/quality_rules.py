@@ -12,13 +12,11 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import SPACE, WORD, words, written
 
-#: A line in more different documents of one host than this is boilerplate. Shared lines of
-#: the given tables pass it from sf0.01 on; smaller groups of near copies stay below it.
-MAX_DOCUMENTS = 10
-#: Lines of every length count: this is the largest int, not a cut.
-MAX_LINE_WORDS = (1 << 31) - 1
+#: A line is boilerplate if so many different texts of one host have it, and more than this share of them.
+MIN_DOCUMENTS = 3
+MIN_SHARE = 0.02
 #: A document that keeps less than this share of its words is depleted.
-MIN_KEPT_PERCENT = 20
+MIN_KEPT_PERCENT = 70
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -89,53 +87,54 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", failed)
 
 
-def counted_lines(docs: DataFrame, max_line_words: int = MAX_LINE_WORDS) -> DataFrame:
-    """Every line of 1 to `max_line_words` words as hashes: no text in the rows. By default no line is too long."""
+def counted_lines(docs: DataFrame) -> DataFrame:
+    """Every line with a word, as hashes: no text in the rows. Each document has a row more, without a line."""
     text = F.coalesce("text", F.lit(""))
     df = docs.select(
         F.col("doc_id").alias("_id"),
         F.coalesce("source", F.lit("")).alias("_host"),
         F.xxhash64(text).alias("_text_hash"),
-        F.posexplode(F.split(text, "\n")).alias("_pos", "_line"),
+        F.posexplode(F.array_append(F.split(text, "\n"), F.lit(None).cast("string"))).alias("_pos", "_line"),
     ).withColumn("_line", _normal(F.col("_line")))
-    n = F.size(F.split("_line", " "))
-    return df.where((F.col("_line") != "") & (n <= max_line_words)).select(
+    none = F.col("_line").isNull()
+    return df.where(none | (F.col("_line") != "")).select(
         "_id",
         "_host",
         "_text_hash",
         "_pos",
-        F.xxhash64("_line").alias("_line_hash"),
-        n.alias("_line_words"),
+        F.when(~none, F.xxhash64("_line")).alias("_line_hash"),
+        F.size(F.split("_line", " ")).alias("_line_words"),
     )
 
 
-def shared_lines(lines: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """(`_host`, `_line_hash`) of lines in more than `max_documents` different texts of the host.
+def shared_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
+    """(`_host`, `_line_hash`) of lines that many texts of a host have.
 
-    Copies of a text count once. The text hash is part of the first key, so a
-    line that a third of all documents share is counted in many tasks.
+    At least `min_documents` different texts, and more than `min_share` of the
+    host's different texts. Copies of a text count once. The text hash is part
+    of the first key, so a line that a third of all documents share is counted
+    in many tasks. The rows without a line count the texts of each host.
     """
     each = lines.groupBy("_host", "_line_hash", "_text_hash").agg(F.lit(1).alias("_one"))
-    return (
-        each.groupBy("_host", "_line_hash")
-        .agg(F.count("_one").alias("_documents"))
-        .where(F.col("_documents") > max_documents)
-        .select("_host", "_line_hash")
-    )
-
-
-def removed_words(
-    docs: DataFrame,
-    max_documents: int = MAX_DOCUMENTS,
-    max_line_words: int = MAX_LINE_WORDS,
-) -> DataFrame:
+    counts = each.groupBy("_host", "_line_hash").agg(F.count("_one").alias("_documents"))
+    none = F.col("_line_hash").isNull()
+    # Written, so that the sizes are known: where few hosts are, they are broadcast.
+    counts = written(counts.where(none | (F.col("_documents") >= min_documents)), "line-counts")
+    hosts = counts.where(none).select(F.col("_host").alias("_of"), F.col("_documents").alias("_texts"))
+    found = counts.where(~none)
+    return found.join(hosts, found["_host"] == hosts["_of"]).where(
+        F.col("_documents") > F.lit(min_share) * F.col("_texts")
+    ).select("_host", "_line_hash")
+
+
+def removed_words(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
     """Removed lines of documents that have any: `_id`, `_host`, `_text_hash`, `n_removed_words`, `_removed`.
 
     `_removed` are the positions of the lines, counted from 0, in no order.
     """
-    lines = counted_lines(docs, max_line_words)
+    lines = counted_lines(docs)
     # Written, so that its size is known: a small one is broadcast; beside a large one Spark splits hot lines.
-    shared = written(shared_lines(lines, max_documents), "shared-lines")
+    shared = written(shared_lines(lines, min_documents, min_share), "shared-lines")
     hit = lines.join(shared, ["_host", "_line_hash"])
     key = ["_id", "_host", "_text_hash"]
     once = hit.groupBy(*key, "_pos").agg(F.max("_line_words").alias("_n"))
@@ -154,20 +153,20 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 def quality_rules(
     docs: DataFrame,
-    max_documents: int = MAX_DOCUMENTS,
-    max_line_words: int = MAX_LINE_WORDS,
+    min_documents: int = MIN_DOCUMENTS,
+    min_share: float = MIN_SHARE,
     min_kept_percent: int = MIN_KEPT_PERCENT,
 ) -> DataFrame:
     """One row per row of `docs` (`doc_id`, `text`, `source`): statistics and verdict.
 
-    `kept` is false if the base rules fail, or if the lines that more than
-    `max_documents` different documents of the host share leave less than
-    `min_kept_percent` of the words. Null text: empty, so it fails on too few
-    words. Null source: the host "". Repeated rows: a row each. An empty table
+    `kept` is false if the base rules fail, or if the lines that at least
+    `min_documents` different texts of the host have, and more than `min_share`
+    of them, leave less than `min_kept_percent` of the words. Null text: empty,
+    so it fails on too few words. Null source: the host "". Repeated rows: a row each. An empty table
     gives an empty result. Other columns of `docs` are ignored.
     """
     stats = text_statistics(docs)
-    removed = removed_words(docs, max_documents, max_line_words)
+    removed = removed_words(docs, min_documents, min_share)
     joined = stats.join(removed, _same(stats, removed), "left")
     n_removed = F.coalesce(removed["n_removed_words"], F.lit(0))
     left = F.col("n_words") - n_removed
@@ -195,12 +194,15 @@ def _without(text: Column, removed: Column) -> Column:
     return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
 
-def keep_documents(docs: DataFrame, **limits: int) -> DataFrame:
+def keep_documents(docs: DataFrame, **limits: float) -> DataFrame:
     """The rows of `docs` that the rules keep, their `text` without the removed lines.
 
-    The rules judge the text as it was. Other columns, and texts without a
-    removed line, stay as they are. Only keys and positions are joined, so
-    texts move once at most.
+    The rules judge the text as it was. A column `n_chars` counts the code
+    points that are left where lines went; other columns, and texts without a
+    removed line, stay as they are. Null and empty texts go, since they have
+    too few words. Rows that repeat stay or go together. An empty table gives
+    an empty result. Only keys and positions are joined, so texts move once at
+    most.
     """
     verdict = quality_rules(docs, **limits)
     edits = (
@@ -213,6 +215,13 @@ def keep_documents(docs: DataFrame, **limits: int) -> DataFrame:
         & (F.coalesce(docs["source"], F.lit("")) == edits["_host"])
         & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == edits["_text_hash"])
     )
-    text = F.when(edits["_removed"].isNull(), docs["text"]).otherwise(_without(docs["text"], edits["_removed"]))
+    edited = edits["_removed"].isNotNull()
+    text = F.when(edited, _without(docs["text"], edits["_removed"])).otherwise(docs["text"])
     joined = docs.join(edits, same, "left").where(F.coalesce(edits["_keep"], F.lit(True)))
-    return joined.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns))
+
+    def column(c: str) -> Column:
+        if c == "n_chars":
+            return F.when(edited, F.char_length(text)).otherwise(docs[c]).cast(docs.schema[c].dataType)
+        return text if c == "text" else docs[c]
+
+    return joined.select(*(column(c).alias(c) for c in docs.columns))

@@ -29,27 +29,43 @@ def plain_statistics(text):
     )
 
 
-def plain_kept(rows, limit, max_line_words=20, percent=20):
-    seen = defaultdict(set)
+def _lines(text):
+    for x in (text or "").split("\n"):
+        norm = re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()
+        if norm:
+            yield x, norm
 
-    def short(text):
-        for x in (text or "").split("\n"):
-            norm = re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()
-            if norm and len(norm.split(" ")) <= max_line_words:
-                yield norm
 
+def plain_shared(rows, least=Q.MIN_DOCUMENTS, share=Q.MIN_SHARE):
+    """(host, line) of the lines that go."""
+    seen, texts = defaultdict(set), defaultdict(set)
     for _, text, source, *_ in rows:
-        for x in short(text):
-            seen[source or "", x].add(text)
+        texts[source or ""].add(text or "")
+        for _, norm in _lines(text):
+            seen[source or "", norm].add(text)
+    return {k for k, who in seen.items() if len(who) >= least and len(who) > share * len(texts[k[0]])}
+
+
+def plain_kept(rows, least=Q.MIN_DOCUMENTS, share=Q.MIN_SHARE, percent=Q.MIN_KEPT_PERCENT):
+    shared = plain_shared(rows, least, share)
     out = []
     for i, text, source, *_ in rows:
         n, _, _, _, rep = plain_statistics(text)
         failed = n < 50 or 100 * rep > 50 * n
-        gone = sum(len(x.split(" ")) for x in short(text) if len(seen[source or "", x]) > limit)
+        gone = sum(len(norm.split(" ")) for _, norm in _lines(text) if (source or "", norm) in shared)
         out.append((i, failed, not failed and 100 * (n - gone) >= percent * n))
     return out
 
 
+def plain_texts(rows):
+    """The texts of kept rows without the lines that go, in order."""
+    shared = plain_shared(rows)
+    for (_, _, kept), (_, text, source, *_) in zip(plain_kept(rows), rows):
+        if kept:
+            gone = {x for x, norm in _lines(text) if (source or "", norm) in shared}
+            yield "\n".join(x for x in text.split("\n") if x not in gone)
+
+
 def body(i, n=60):
     return " ".join(f"w{i}x{j}" for j in range(n))
 
@@ -73,23 +89,37 @@ ROWS = [
 
 
 def test_matches_plain(spark):
-    got = Q.quality_rules(spark.createDataFrame(ROWS, SCHEMA), max_documents=3).collect()
+    got = Q.quality_rules(spark.createDataFrame(ROWS, SCHEMA), min_documents=4, min_share=0.2).collect()
     stats = Counter(
         (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got
     )
     assert stats == Counter((r[0], *plain_statistics(r[1])) for r in ROWS)
-    assert Counter((r.doc_id, r.base_failed, r.kept) for r in got) == Counter(plain_kept(ROWS, 3))
+    assert Counter((r.doc_id, r.base_failed, r.kept) for r in got) == Counter(plain_kept(ROWS, 4, 0.2))
+
+
+def test_count_and_share_both_decide(spark):
+    """A line in 4 of 8 texts of a host, in 4 of 40, and in 2 of 2: only the first is in many and in a fifth."""
+    line = "the line that they share is long enough to matter here " * 3
+    rows = [(k, f"{line}\n{body(k, 50)}" if k < 4 else body(k), host, "") for host, n in (("a", 8), ("b", 40)) for k in range(n)]
+    rows += [(k, f"{line}\n{body(k, 50)}", "c", "") for k in range(2)]
+    rows += [(50 + k, f"{line}\n{body(0, 50)}", "c", "") for k in range(5)]  # copies count once
+    docs = spark.createDataFrame(rows, SCHEMA)
+    shared = Q.shared_lines(Q.counted_lines(docs), 4, 0.2).collect()
+    assert [r["_host"] for r in shared] == ["a"]
+    assert Q.shared_lines(Q.counted_lines(docs), 4, 0.5).count() == 0  # more than the share
+    got = Q.quality_rules(docs, min_documents=4, min_share=0.2).collect()
+    assert Counter((r.doc_id, r.base_failed, r.kept) for r in got) == Counter(plain_kept(rows, 4, 0.2))
 
 
 def test_depleted_documents_go(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA)
-    kept = Q.keep_documents(docs, max_documents=3)
+    kept = Q.keep_documents(docs)
     assert kept.columns == docs.columns
-    want = Counter(x for x, _, k in plain_kept(ROWS, 3) if k)
+    want = Counter(x for x, _, k in plain_kept(ROWS) if k)
     assert Counter(r.doc_id for r in kept.collect()) == want
     rows = [(k, "\n".join(f"a{j} b{j} c{j} d{j}" for j in range(20)) + f"\nown {k} line", "h", "")
             for k in range(6)]
-    many = Q.quality_rules(spark.createDataFrame(rows, SCHEMA), max_documents=5)
+    many = Q.quality_rules(spark.createDataFrame(rows, SCHEMA))
     assert not any(r.kept for r in many.collect()) and not any(r.base_failed for r in many.collect())
 
 
@@ -100,12 +130,28 @@ def test_empty_table(spark):
 
 
 def test_whole_table(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
-    got = Q.quality_rules(docs, max_documents=2).collect()
+    got = Q.quality_rules(docs).collect()
     stats = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got}
     assert stats == {(i, *plain_statistics(t)) for i, t, _ in rows}
-    assert {(r.doc_id, r.base_failed, r.kept) for r in got} == set(plain_kept(rows, 2))
+    assert {(r.doc_id, r.base_failed, r.kept) for r in got} == set(plain_kept(rows))
+    kept = Q.keep_documents(docs)
+    assert sorted(r.text for r in kept.collect()) == sorted(plain_texts(rows))
+    assert kept.where("n_chars <> char_length(text)").count() == 0
+
+
+def test_line_rule_rejects_rows_of_a_given_table(spark):
+    """The line rule alone rejects documents, and takes the same share of the words in a table ten times as large."""
+    share = {}
+    for sf in ("sf0.01", "sf0.1"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        got = Q.quality_rules(docs).selectExpr(
+            "sum(n_removed_words) / sum(n_words) as share", "count_if(not kept and not base_failed) as depleted"
+        ).first()
+        share[sf] = got.share
+    assert got.depleted > 0
+    assert 0.8 < share["sf0.1"] / share["sf0.01"] < 1.25
 
 
 def test_no_python_in_plan(spark):
@@ -115,16 +161,16 @@ def test_no_python_in_plan(spark):
 
 
 def test_long_passages_deplete_by_default(spark):
-    """A whole table, and in it a passage of 70 words in a dozen texts of one host and in five of another."""
+    """A whole table, and in it a passage of 70 words in all texts of one host and in two of another."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
     passage = body("p", 70)
     rows += [(10**6 + k, f"{body(k, 9)}\n{passage}", "planted") for k in range(12)]
-    rows += [(10**7 + k, f"{body(k, 9)}\n{passage}", "other") for k in range(5)]
+    rows += [(10**7 + k, f"{body(k, 9)}\n{passage}", "other") for k in range(2)]
     got = Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
-    assert {(r.doc_id, r.base_failed, r.kept) for r in got} == set(plain_kept(rows, Q.MAX_DOCUMENTS, 10**9))
-    assert {r.doc_id for r in got if not r.kept and not r.base_failed} == {10**6 + k for k in range(12)}
-    assert any(r.n_removed_words for r in Q.removed_words(docs).collect())
+    assert {(r.doc_id, r.base_failed, r.kept) for r in got} == set(plain_kept(rows))
+    assert {r.doc_id for r in got if not r.kept and not r.base_failed} >= {10**6 + k for k in range(12)}
+    assert all(r.kept for r in got if r.doc_id >= 10**7)
 
 
 def test_removed_lines_leave_the_kept_texts(spark):
@@ -135,7 +181,7 @@ def test_removed_lines_leave_the_kept_texts(spark):
     want = [(k, f"\n{body(k)}\n{body(k, 5)}", "h", "x") for k in range(5)]
     want += [(None, f"{body(90)}\n", "h", "x")] * 2 + [rows[7]]
     docs = spark.createDataFrame(rows, SCHEMA)
-    assert Counter(map(tuple, Q.keep_documents(docs, max_documents=3).collect())) == Counter(want)
-    clashing = docs.withColumns({c: F.lit("y") for c in ("_id", "_host", "_text_hash", "_keep", "_removed")})
-    kept = Q.keep_documents(clashing, max_documents=3)
+    assert Counter(map(tuple, Q.keep_documents(docs).collect())) == Counter(want)
+    clashing = docs.withColumns({c: F.lit("y") for c in ("_id", "_host", "_text_hash", "_keep", "_removed", "_of", "_texts")})
+    kept = Q.keep_documents(clashing)
     assert kept.columns == clashing.columns and {r._removed for r in kept.collect()} == {"y"}
