@@ -19,10 +19,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import cut, free_prefix, written
+from tallyspark.llm.common import cut, written
 from tallyspark.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -59,24 +59,18 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
-    """(`doc_id`, `fp`), `fp` as a signed long with the fingerprint's bits; null text: 0.
-
-    Then the columns `carried`, all of them long.
-    """
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(`doc_id`, `fp`), `fp` as a signed long with the fingerprint's bits; null text: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, *more = batch.columns
             fps = np.array(
-                [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts], np.uint64
+                [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)], np.uint64
             )
-            yield pa.RecordBatch.from_arrays([ids, pa.array(fps.view(np.int64)), *more], ["doc_id", "fp", *carried])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    source = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *carried
-    )
-    return source.mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in carried)]))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return source.mapInArrow(run, "doc_id long, fp long")
 
 
 def block_masks(blocks: int = BLOCKS) -> list[int]:
@@ -117,42 +111,71 @@ def join_keys(fps: np.ndarray, refs: np.ndarray, blocks: int, max_bits: int) ->
     return np.stack([per_block[:, list(c)].sum(axis=1) ^ s for c, s in zip(choices, salt)], axis=1)
 
 
-def spanning_links(fps: np.ndarray, refs: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+#: Coordinates that are looked at together; pairs that they discard need no more.
+_TOGETHER = 16
+
+
+def within(table: np.ndarray, x: np.ndarray | int, y: np.ndarray, max_bits: int) -> np.ndarray:
+    """Of the pairs (`x`, `y`) of rows of a pivot table, those whose largest coordinate difference is at most `max_bits`.
+
+    `x` is one row or as many as `y`; the result numbers the pairs.
+    """
+    left = np.arange(len(y))
+    for c in range(0, table.shape[1], _TOGETHER):
+        some = table[:, c : c + _TOGETHER]
+        other = some[x] if np.ndim(x) == 0 else some[x[left]]
+        left = left[(np.abs(some[y[left]] - other) <= max_bits).all(axis=1)]
+        if not len(left):
+            break
+    return left
+
+
+def spanning_links(fps: np.ndarray, table: np.ndarray, max_bits: int) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links that connect just what all links within `max_bits` connect: a breadth-first forest.
 
     A point that was reached is never compared as a target again, so a dense
-    group takes few rounds.
+    group takes few rounds. Then the numbers of pairs, of those that the pivot
+    `table` leaves, and of links among these.
     """
-    table = pivot_table(fps, refs[:: max(1, len(refs) // 16)]).astype(np.int8)
     rest = np.arange(len(fps))
-    links = []
+    links, counts = [], np.zeros(3, np.int64)
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = np.ones(len(rest), bool)
-            alive = rest
-            # Coordinates one after the other, each on what the last ones left.
-            for c in range(table.shape[1]):
-                alive = alive[np.abs(table[alive, c] - table[x, c]) <= max_bits]
-                if len(alive) < 64:
-                    break
+            alive = rest[within(table, int(x), rest, max_bits)]
             hit = alive[np.bitwise_count(fps[alive] ^ fps[x]) <= max_bits]
+            counts += (len(rest), len(alive), len(hit))
             if len(hit):
                 links += [(int(x), int(y)) for y in hit]
+                near = np.ones(len(rest), bool)
                 near[np.searchsorted(rest, hit)] = False
                 rest = rest[near]
                 queue += hit.tolist()
-    return links
+    return links, counts
 
 
-def fingerprint_links(
-    distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, chunk: int = CHUNK
-) -> DataFrame:
-    """Links (`a`, `b`) that connect the distinct `fp` exactly as all pairs within `max_bits` do.
+def dealt(rows: DataFrame, key: str, member: str, pieces: Column, calls: int) -> DataFrame:
+    """`rows` with the column `call`, and `p` and `q`: which rows a call compares with which.
+
+    A key of one piece is compared whole, and shares its call with other small
+    keys: a call of its own would cost more than its work. The members of a
+    larger key go to `pieces` at random, and every pair (`p`, `q`) of pieces,
+    also of a piece with itself, is a call of its own.
+    """
+    own = F.pmod(F.xxhash64(member, key), F.col("pieces")).cast("int")
+    spread = rows.withColumn("pieces", pieces.cast("int")).withColumn("own", own)
+    # Piece p takes part in the pairs (p, q) and (q, p) for every q.
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    spread = spread.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+    call = F.when(F.col("pieces") == 1, F.pmod(F.xxhash64(key), F.lit(calls))).otherwise(F.xxhash64(key, "p", "q"))
+    return spread.withColumn("call", call).drop("pieces", "own", "other")
+
+
+def key_rows(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+    """(`key`, `fp`, `p`, `q`, `call`): the distinct `fp` under their join keys, dealt to calls.
 
-    Keys that hold more than `chunk` fingerprints are split at random into
-    pieces, and every pair of pieces is compared by a task of its own.
+    A call holds a few thousand rows, or twice `chunk` of a key with more.
     """
     if not 0 < max_bits < blocks <= 16:
         raise ValueError("0 < max_bits < blocks <= 16")
@@ -168,44 +191,62 @@ def fingerprint_links(
                     [pa.array(keys.ravel()), pa.array(np.repeat(part.view(np.int64), keys.shape[1]))], ["key", "fp"]
                 )
 
-    rows = distinct.select("fp").mapInArrow(keyed, "key long, fp long")
-    rows = written(rows, "simhash-keys")
+    rows = written(distinct.select("fp").mapInArrow(keyed, "key long, fp long"), "simhash-keys")
     # Keys of one fingerprint only are most of them; they link nothing.
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    many = rows.join(sizes, "key")
-    pieces = F.ceil(F.col("n") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("fp", "key"), pieces).cast("int")
-    # Piece p takes part in the pairs (p, q) and (q, p) for every q.
-    dealt = (
-        many.withColumn("pieces", pieces)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        .select(
-            "key", "fp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")
-        )
-    )
-    # Many keys share a task's call: a call per small key would cost more than its work.
-    tasks = F.when(F.col("p") == F.col("q"), F.pmod("key", F.lit(_calls(distinct)))).otherwise(F.xxhash64("key", "p", "q"))
+    return dealt(rows.join(sizes, "key"), "key", "fp", F.ceil(F.col("n") / chunk), _calls(distinct)).drop("n")
+
+
+def compared(rows: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """Links (`a`, `b`) from `key_rows`; and per call a row without ends, with its `pairs`, those `left` by the pivot distances, and `links`."""
+    refs = references(blocks)
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
         key = frame[["key", "p", "q"]].to_numpy()
         fps = frame["fp"].to_numpy().view(np.uint64)
         order = np.lexsort(key.T[::-1])
         key, fps = key[order], fps[order]
-        cut_at = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        a, b = [], []
-        for part in np.split(fps, cut_at):
-            if len(part) == 2:
-                if int(part[0] ^ part[1]).bit_count() <= max_bits:
-                    a.append(part[0])
-                    b.append(part[1])
-                continue
-            for x, y in spanning_links(part, refs, max_bits):
-                a.append(part[x])
-                b.append(part[y])
-        return pd.DataFrame({"a": np.array(a, np.uint64).view(np.int64), "b": np.array(b, np.uint64).view(np.int64)})
-
-    return dealt.withColumn("call", tasks).groupBy("call").applyInPandas(link, "a long, b long").distinct()
+        table = pivot_table(fps, refs).astype(np.int8)
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+        size = np.diff(np.append(first, len(fps)))
+        # Keys of two are most of them: all their pairs at once.
+        x = first[size == 2]
+        y = x + 1
+        left = within(table, x, y, max_bits)
+        hit = left[np.bitwise_count(fps[x[left]] ^ fps[y[left]]) <= max_bits]
+        counts = np.array([len(x), len(left), len(hit)], np.int64)
+        a, b = [fps[x[hit]]], [fps[y[hit]]]
+        for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+            links, more = spanning_links(fps[at : at + n], table[at : at + n], max_bits)
+            counts += more
+            if links:
+                ends = np.array(links) + at
+                a.append(fps[ends[:, 0]])
+                b.append(fps[ends[:, 1]])
+        a, b = (pd.array(np.concatenate(c).view(np.int64), "Int64") for c in (a, b))
+        out = pd.DataFrame({"a": a, "b": b, "pairs": 0, "left": 0, "links": 0})
+        total = pd.DataFrame({"a": pd.array([pd.NA], "Int64"), "b": pd.array([pd.NA], "Int64"), **{c: [n] for c, n in zip(("pairs", "left", "links"), counts.tolist())}})
+        return pd.concat([out, total], ignore_index=True)
+
+    return rows.groupBy("call").applyInPandas(link, "a long, b long, pairs long, left long, links long")
+
+
+def fingerprint_links(
+    distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, chunk: int = CHUNK
+) -> DataFrame:
+    """Links (`a`, `b`) that connect the distinct `fp` exactly as all pairs within `max_bits` do.
+
+    An empty table gives no links.
+    """
+    found = compared(key_rows(distinct, max_bits, blocks, chunk), max_bits, blocks)
+    return found.where("a is not null").select("a", "b").distinct()
+
+
+def pair_report(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+    """One row: the `pairs` of distinct `fp` under a key, how many the pivot distances `discarded`, how many were `verified`, and the `links` found."""
+    found = compared(key_rows(distinct, max_bits, blocks, chunk), max_bits, blocks).where("a is null")
+    pairs, left, links = (F.coalesce(F.sum(c), F.lit(0)) for c in ("pairs", "left", "links"))
+    return found.select(pairs.alias("pairs"), (pairs - left).alias("discarded"), left.alias("verified"), links.alias("links"))
 
 
 def _calls(distinct: DataFrame) -> int:
@@ -213,9 +254,9 @@ def _calls(distinct: DataFrame) -> int:
     return max(64, distinct.count() // 4000)
 
 
-def _by_fingerprint(fps: DataFrame, max_bits: int, blocks: int, order: str) -> DataFrame:
-    """(`_fp`, `_first`): for each fingerprint of `fps` the least value of `order` in its component."""
-    nodes = cut(fps.groupBy("fp").agg(F.min(F.expr(order)).alias("first")))
+def _by_fingerprint(fps: DataFrame, max_bits: int, blocks: int) -> DataFrame:
+    """(`_fp`, `_first`): for each fingerprint of `fps` the least `doc_id` in its component."""
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     linked = components(fingerprint_links(nodes, max_bits, blocks))
     linked = cut(nodes.join(linked, nodes["fp"] == linked["node"], "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
@@ -236,34 +277,5 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLO
     unless it is alone there. Other columns are ignored.
     """
     fps = written(fingerprints(docs), "simhash-fingerprints")
-    by_fp = _by_fingerprint(fps, max_bits, blocks, "doc_id")
+    by_fp = _by_fingerprint(fps, max_bits, blocks)
     return fps.join(by_fp, fps["fp"] == by_fp["_fp"]).select("doc_id", "fp", F.col("_first").alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """The rows of `docs` that stand for their component.
-
-    Its first row by `doc_id`, nulls last, then by the hash of the text. Rows
-    that repeat, with the same `doc_id` and text, all stay or go together; of
-    those without a `doc_id` one stays.
-    """
-    # A null text has another hash than an empty one.
-    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    fps = written(fingerprints(hashed, "text_hash"), "simhash-fingerprints")
-    row = "struct(doc_id is null as nameless, doc_id, text_hash)"
-    by_fp = _by_fingerprint(fps, max_bits, blocks, row)
-    gone = (
-        fps.join(by_fp, fps["fp"] == by_fp["_fp"])
-        .where(~F.expr(row).eqNullSafe(F.col("_first")))
-        .select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash"))
-        .distinct()
-    )
-
-    def left(rows: DataFrame) -> DataFrame:
-        same = rows["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(rows["text"]) == gone["_gone_hash"])
-        return rows.join(gone, same, "left_anti")
-
-    # Without an id nothing tells equal texts apart: one of them is taken.
-    mark = free_prefix(docs, "_hash")
-    nameless = left(docs.where(docs["doc_id"].isNull())).withColumn(mark, F.xxhash64("text"))
-    return left(docs.where(docs["doc_id"].isNotNull())).union(nameless.dropDuplicates([mark]).drop(mark))

@@ -106,29 +106,43 @@ def test_distances_of_pivots_bound_the_bits():
     assert ((keys[:-1] == keys[-1]).any(axis=1)).all()
 
 
-def test_one_of_each(spark):
-    text = " ".join(f"w{k}" for k in range(300))
-    rows = [(5, text, "a", "b"), (3, text, None, "b"), (3, text, None, "b"), (9, text + " more", "a", "b"),
-            (7, "another text " + " ".join(f"z{k}" for k in range(80)), "a", "b"), (None, text, "a", "b"),
-            (8, None, "a", "b"), (6, "", "a", "b")]
-    docs = spark.createDataFrame(rows, SCHEMA)
-    kept = S.one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [3, 3, 6, 7]
-
-
-def test_one_of_each_tells_rows_apart(spark):
-    """Several rows without an id, and an id with a copied text and one of its own."""
-    a, b, c, d = (" ".join(f"{x}{k}" for k in range(200)) for x in "abcd")
-    rows = [(1, a, "p", "q"), (None, a, "p", "q"), (None, b, "p", "q"), (None, b, "p", "r"), (None, c, "p", "q"),
-            (2, a, "p", "q"), (2, d, "p", "q"), (None, d + " more", "p", "q")]
-    kept = S.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted(((r.doc_id or 0), r.text) for r in kept) == sorted([(1, a), (0, b), (0, c), (2, d)])
+def _signed(fps):
+    return [(int(np.uint64(f).astype(np.int64)),) for f in fps]
+
+
+def test_calls_of_a_hot_key_stay_small(spark):
+    """40,000 fingerprints that share 32 bits: no call holds more than two pieces, or the small keys of a call."""
+    rng = random.Random(9)
+    fps = {rng.getrandbits(32) << 32 | 0x1234ABCD for _ in range(40_000)}
+    rows = S.key_rows(spark.createDataFrame(_signed(fps), "fp long"))
+    sizes = rows.groupBy("call").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 2.2 * S.CHUNK
+    assert sizes.count() > 2 * (40_000 // S.CHUNK) ** 2 // 2
+
+
+def test_pivots_discard_pairs(spark):
+    """The largest coordinate difference discards most pairs that share a key by chance, and none that are near."""
+    rng = random.Random(4)
+    low = [rng.getrandbits(40) for _ in range(4)]
+    fps = sorted({x | rng.getrandbits(24) << 40 for x in low for _ in range(300)} | _near(rng, rng.getrandbits(64), 100, 2))
+    table = spark.createDataFrame(_signed(fps), "fp long")
+    report = S.pair_report(table).first()
+    assert report.pairs == report.discarded + report.verified
+    assert report.discarded > 0.7 * report.pairs and report.verified < 4 * report.links
+    every = np.array(fps, np.uint64)
+    dist = S.pivot_table(every, S.references()).astype(np.int8)
+    i, j = np.triu_indices(len(every), 1)
+    left = S.within(dist, i, j, 3)
+    near = np.flatnonzero(np.bitwise_count(every[i] ^ every[j]) <= 3)
+    assert set(near.tolist()) <= set(left.tolist()) and len(left) < len(i) // 20
+    assert S.within(dist, 0, np.arange(len(every)), 3).tolist() == [y for y in range(len(every)) if np.abs(dist[0] - dist[y]).max() <= 3]
 
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
-    assert S.near_duplicates(docs).count() == 0 and S.one_of_each(docs).count() == 0
+    assert S.near_duplicates(docs).count() == 0
+    report = S.pair_report(spark.createDataFrame([], "fp long")).first()
+    assert tuple(report) == (0, 0, 0, 0)
 
 
 def test_components_of_chains_and_hubs(spark):
