@@ -36,6 +36,8 @@ _IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the namespace of URL
 GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 #: Bytes of records that a task hands on at once.
 BATCH_BYTES = 4 << 20
+#: Bytes of revisit lists that are broadcast at once.
+WAVE_BYTES = 32 << 20
 
 
 class ArcRecord(NamedTuple):
@@ -55,10 +57,13 @@ def _opened(content: bytes) -> BinaryIO:
 
 
 def read_arc(content: bytes) -> Iterator[ArcRecord]:
-    """Records of an ARC file, the version block left out. A record cut short has `truncated` set."""
+    """Records of an ARC file, the version block left out. A record cut short has `truncated` set.
+
+    Only the first record of a file can be the version block: a page's URL may begin like one.
+    """
     stream = _opened(content)
     fields = ARC_FIELDS[1].split()
-    archive, offset = "", 0
+    archive, offset, begun = "", 0, False
     while True:
         line = stream.readline()
         if not line:
@@ -67,7 +72,8 @@ def read_arc(content: bytes) -> Iterator[ArcRecord]:
         if not line.strip():
             continue
         text = line.decode("utf-8", "replace").rstrip("\r\n")
-        if text.startswith("filedesc:"):
+        at_start, begun = not begun, True
+        if at_start and text.startswith("filedesc:"):
             archive = text.split(" ", 1)[0].removeprefix("filedesc://")
             block = stream.read(int(text.rsplit(" ", 1)[1]))
             offset += len(block)
@@ -196,7 +202,7 @@ def _batched(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         yield _lines(held)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(`path`, `content`) of the archives in a folder. An archive is as large as a task's input, compressed."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
@@ -288,13 +294,31 @@ def revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
-    """The ARC files below `arc_path` as WARC files below `warc_path`, one for one."""
+def _listed(spark: SparkSession, path: str | list[str], known: DataFrame) -> DataFrame:
+    """(`content`, `revisits`) of archives; `known` is a bounded list, and the archives stay where they are read."""
+    files, known = _files(spark, path), known.withColumnRenamed("path", "_path")
+    return files.join(F.broadcast(known), files["path"] == known["_path"], "left").select("content", "revisits")
+
+
+def convert(
+    spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0, expected: int | None = None,
+    wave_bytes: int = WAVE_BYTES,
+) -> None:
+    """The ARC files below `arc_path` as WARC files below `warc_path`, one for one.
+
+    Archives never move: the list of revisits goes to the tasks that read
+    them, in as many waves of archives as keep a wave's list below about
+    `wave_bytes`. If `expected` is given, and the archives hold another number
+    of records, it raises.
+    """
     records = written(arc_records(spark, arc_path), "warc-records")
-    # Written, so that its size is known: Spark broadcasts it only if it is small, and else moves the files.
-    known = written(revisits(records, min_bytes), "warc-revisits").withColumnRenamed("path", "_path")
-    files = _files(spark, arc_path)
-    files = files.join(known, files["path"] == known["_path"], "left").select("content", "revisits")
+    if expected is not None and records.count() != expected:
+        raise ValueError(f"{records.count()} records in the archives, not {expected}")
+    known = written(revisits(records, min_bytes), "warc-revisits")
+    # Ids, dates and numbers take about 100 bytes of an entry.
+    size = known.select(F.aggregate("revisits", F.lit(0).cast("long"), lambda n, r: n + 100 + F.length(r["url"])).alias("n"))
+    waves = -(-(size.agg(F.sum("n")).first()[0] or 1) // wave_bytes)
+    wave = F.pmod(F.xxhash64("path"), F.lit(waves))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
@@ -309,8 +333,17 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
 
         yield from _batched(records())
 
-    lines = files.mapInArrow(run, "value string")
-    lines.write.options(**GZIP).option("lineSep", "\r\n\r\n").text(warc_path)
+    if waves == 1:
+        lists = [(arc_path, known)]
+    else:
+        # Names of files, as Spark's own listing holds them.
+        paths = _files(spark, arc_path).select("path", wave.alias("wave")).collect()
+        lists = [([r.path for r in paths if r.wave == w], known.where(wave == w)) for w in range(waves)]
+    for path, some in lists:
+        if not path:
+            continue
+        lines = _listed(spark, path, some).mapInArrow(run, "value string")
+        lines.write.mode("append").options(**GZIP).option("lineSep", "\r\n\r\n").text(warc_path)
 
 
 _READ = (
@@ -365,5 +398,5 @@ def archived_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     root = scratch(spark, "archives")
     write_arc(pages, f"{root}/arc")
-    convert(spark, f"{root}/arc", f"{root}/warc", min_bytes)
+    convert(spark, f"{root}/arc", f"{root}/warc", min_bytes, expected=pages.count())
     return warc_records(spark, f"{root}/warc")

@@ -1,5 +1,7 @@
 """Toxicity: held-out accuracy, the risk estimator, and odd input."""
 
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -72,3 +74,23 @@ def test_nothing_to_learn(spark):
     assert X.toxicity(docs.limit(0), labels).count() == 0
     for none in (labels.limit(0), labels.withColumn("toxic", F.lit(0))):
         assert {r.score for r in X.toxicity(docs, none).collect()} == {0.0}
+
+
+def test_sample_is_bounded_by_rows(spark, monkeypatch):
+    """A toxic id that 100,000 rows repeat, and an id with many texts: the sample holds no more rows than its bounds."""
+    once, many = [k for k in range(50) if zlib.crc32(str(k).encode()) % 5][:2]
+    rows = spark.range(100_000).select(F.lit(once).cast("long").alias("doc_id"), F.lit("idiot scum").alias("text"))
+    rows = rows.union(spark.range(500).selectExpr(f"{many}L", "concat('idiot scum ', id)"))
+    rows = rows.union(spark.range(2000).selectExpr("id + 100", "concat('a fine day word', id)"))
+    labels = spark.createDataFrame([(once, 1), (many, 1), *((k, 0) for k in range(100, 400))], "doc_id long, toxic int")
+    sizes = []
+    fit = X.nn_pu_fit
+    monkeypatch.setattr(X, "nn_pu_fit", lambda p, u, *a, **b: sizes.append((len(p), len(u))) or fit(p, u, *a, **b))
+    model = X.train(rows, labels, max_positives=40, max_unlabelled=300)
+    assert sizes and sizes[0][0] == 40 and 250 < sizes[0][1] <= 300
+    assert model.score(b"idiot scum") > model.score(b"a fine day word7")
+
+
+def test_no_feature_is_left_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    assert 10 < len(X.train(docs, labels).weights) < X.MAX_FEATURES // 2

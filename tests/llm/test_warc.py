@@ -99,3 +99,35 @@ def test_converts_bytes_that_are_no_text(spark, tmp_path):
     W.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
     rows = {r.url: r for r in W.warc_records(spark, str(tmp_path / "warc")).collect()}
     assert rows["http://a/b c"].payload_bytes == 9 and rows["dns:a"].record_type == "resource"
+
+
+def test_url_that_begins_like_a_version_block(spark):
+    rows = [(1, "filedesc://x.arc", "<p>a</p>", "p", "c"), (2, "http://a/", "<p>a</p>", "p", "c"), (3, "filedesc:b", "<p>b</p>", "p", "c")]
+    for parts in (1, 3):
+        got = W.archived_pages(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()
+        assert Counter(map(key, got)) == plain(rows)
+
+
+def test_waves_give_the_same_rows(spark, tmp_path):
+    rows = [(k, f"http://{k}/", f"<p>{k % 7}</p>", None, None) for k in range(120)] + ROWS
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(9)
+    W.write_arc(pages, f"{tmp_path}/arc")
+    for bound in (1 << 20, 2000):
+        W.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc{bound}", expected=len(rows), wave_bytes=bound)
+        assert Counter(map(key, W.warc_records(spark, f"{tmp_path}/warc{bound}").collect())) == plain(rows)
+    with pytest.raises(ValueError):
+        W.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/none", expected=len(rows) + 1)
+
+
+def test_archives_are_not_shuffled(spark, tmp_path):
+    W.write_arc(spark.createDataFrame(ROWS, SCHEMA).repartition(3), f"{tmp_path}/arc")
+    known = W.revisits(W.arc_records(spark, f"{tmp_path}/arc"))
+    known.write.parquet(f"{tmp_path}/known")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = W._listed(spark, f"{tmp_path}/arc", spark.read.parquet(f"{tmp_path}/known"))._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert "BroadcastHashJoin" in physical and "hashpartitioning" not in physical
