@@ -8,8 +8,10 @@ their Viterbi tables are filled together, a position at a time in numpy.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +33,9 @@ CACHE_WORDS = 500_000
 BATCH_WORDS = 20_000
 #: Cells of the tables that are filled together; a single longer word gets a table of its own.
 TABLE_CELLS = 2_000_000
+#: Bytes from which a word is encoded by itself, and places from which the trie is walked together then.
+LONG_BYTES = 1024
+STARTS = 1 << 16
 _WORD = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
 
 
@@ -101,6 +106,9 @@ class UnigramModel:
         self.unknown_score = min(scores[i] for i in keys) - UNKNOWN_PENALTY
         self.bytes_of = {i: bytes([b]) for b, i in enumerate(byte_ids)}
         self.control = [not ok and i not in self.bytes_of for i, ok in enumerate(ordinary)]
+        # What an id stands for: control pieces for nothing, the unknown piece for a mark.
+        self.written = [p.encode() if ok else self.bytes_of.get(i, b"") for i, (p, ok) in enumerate(zip(pieces, ordinary))]
+        self.written[unknown] = " \u2047 ".encode()
         if any(MARKER in pieces[i].lstrip(MARKER) for i in keys):
             raise ValueError("a piece reaches across a word's start")
 
@@ -122,6 +130,9 @@ class UnigramModel:
         out: list[np.ndarray] = [None] * len(words)
         raw = [w.encode() for w in words]
         order = sorted(range(len(words)), key=lambda i: len(raw[i]))
+        while order and len(raw[order[-1]]) > LONG_BYTES:
+            i = order.pop()
+            out[i] = self._long(raw[i])
         at = 0
         while at < len(order):  # words of like length together, in tables of bounded size
             size = max(1, min(BATCH_WORDS, TABLE_CELLS // (len(raw[order[at]]) + 1)))
@@ -199,6 +210,51 @@ class UnigramModel:
             out.append(row.astype(np.int32))
         return out
 
+    def _long(self, raw: bytes) -> np.ndarray:
+        """The same for one long word: the trie is walked from many places at once, then the path is found place by place."""
+        n = len(raw)
+        text = np.frombuffer(raw, np.uint8)
+        best, back, piece = array("d", [-math.inf]) * (n + 1), array("q", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0] = 0.0
+        for begin in range(0, n, STARTS):
+            some = text[begin : begin + STARTS]
+            starts = begin + np.flatnonzero((some & 0xC0) != 0x80)  # first bytes of code points
+            lead = text[starts]
+            char = 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+            node, active, depth = np.zeros(len(starts), np.int32), np.arange(len(starts)), 0
+            found = []
+            while len(active):
+                active = active[starts[active] + depth < n]
+                step = self.trie.step(node[active], text[starts[active] + depth])
+                active, step = active[step >= 0], step[step >= 0]
+                node[active] = step
+                depth += 1
+                value = self.trie.value[step]
+                hit = value >= 0
+                found.append((active[hit], np.full(int(hit.sum()), depth), value[hit]))
+            who, size, ids = (np.concatenate([f[k] for f in found] or [np.empty(0, np.int64)]) for k in range(3))
+            order = np.argsort(who, kind="stable")  # by place, shorter pieces first
+            who, size, ids = who[order], size[order], ids[order]
+            single = np.zeros(len(starts), bool)
+            single[who[size == char[who]]] = True
+            first = np.searchsorted(who, np.arange(len(starts) + 1)).tolist()
+            size, gain, ids = size.tolist(), self.scores[ids].tolist(), ids.tolist()
+            for k, (s, c, known) in enumerate(zip(starts.tolist(), char.tolist(), single.tolist())):
+                score = best[s]
+                for j in range(first[k], first[k + 1]):
+                    end, new = s + size[j], score + gain[j]
+                    if new > best[end] or piece[end] == -1:
+                        best[end], back[end], piece[end] = new, s, ids[j]
+                if not known:
+                    end, new = s + c, score + self.unknown_score
+                    if new > best[end] or piece[end] == -1:
+                        best[end], back[end], piece[end] = new, s, self.unknown
+        path, here = [], n
+        while here > 0:
+            path.append((piece[here], back[here], here))
+            here = back[here]
+        return self._fallback(raw, path[::-1])
+
     def _fallback(self, raw: bytes, path: list[tuple]) -> np.ndarray:
         ids: list[int] = []
         for p, begin, end in path:
@@ -212,22 +268,8 @@ class UnigramModel:
 
     def decode(self, ids) -> str:
         """The text of ids: bytes joined to characters, markers to spaces, the first one dropped."""
-        out: list[str] = []
-        held = b""
-        for i in ids:
-            if (b := self.bytes_of.get(int(i))) is not None:
-                held += b
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held = b""
-            if int(i) == self.unknown:
-                out.append(" ⁇ ")
-            elif not self.control[int(i)]:
-                out.append(self.pieces[int(i)])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out)
+        table = self.written
+        text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
         return text.removeprefix(MARKER).replace(MARKER, " ")
 
 
@@ -293,7 +335,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
-    """(`doc_id`, `text`) from (`doc_id`, `ids`); null ids give a null text."""
+    """(`doc_id`, `text`) for every row of `rows` (`doc_id`, `ids`).
+
+    Null ids give a null text, no ids an empty one. Rows that repeat give a
+    row each; an empty table gives an empty result; other columns are ignored.
+    """
 
     model = _model(path)
 
@@ -305,10 +351,17 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+_REPORT = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_tokens", "ids_crc32", "n_byte_tokens", "decoded_crc32")] + [("round_trip", pa.bool_())])
+
+
 def encoding_report(docs: DataFrame, path: str) -> DataFrame:
-    """Per row of `docs`: `doc_id`, `n_tokens`, `ids_crc32` (unsigned) and `n_byte_tokens`, pieces of byte fallback.
+    """Per row of `docs` (`doc_id`, `text`) what its ids and the text decoded from them are like.
 
-    Null and empty texts: 0 tokens, the checksum of nothing. See `encoded` for the rest.
+    `n_tokens`, `ids_crc32` of the packed ids, `n_byte_tokens` (pieces of byte
+    fallback), `decoded_crc32` of the decoded text in UTF-8, all checksums
+    unsigned, and `round_trip`: whether that text is the input, which it is
+    not if the text has markers of its own. Null and empty texts: 0 tokens,
+    the checksum of nothing, true. See `encoded` for the rest.
     """
 
     model = _model(path)
@@ -316,9 +369,18 @@ def encoding_report(docs: DataFrame, path: str) -> DataFrame:
     is_byte[model.byte_ids] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(len(x) // 4, zlib.crc32(x), int(is_byte[np.frombuffer(x, "<u4")].sum())) for x in batch.column(1).to_pylist()]
-            n, crc, n_bytes = (pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), ())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, crc, n_bytes], ["doc_id", "n_tokens", "ids_crc32", "n_byte_tokens"])
-
-    return encoded(docs, path).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, n_byte_tokens long")
+        encoder = Encoder(model)
+        for batch in slices(batches):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            rows = []
+            for some in _groups(texts):
+                for text, packed in zip(some, encoder.encode_many(some)):
+                    ids = np.frombuffer(packed, "<u4")
+                    again = model.decode(ids.tolist())
+                    rows.append((len(ids), zlib.crc32(packed), int(is_byte[ids].sum()), zlib.crc32(again.encode()), again == text))
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else ((),) * 5, list(_REPORT)[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=_REPORT)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, n_tokens long, ids_crc32 long, n_byte_tokens long, decoded_crc32 long, round_trip boolean"
+    )

@@ -1,5 +1,7 @@
 """Unigram encoding against the library, a plain Viterbi, and exact round trips."""
 
+import random
+import time
 import zlib
 
 import numpy as np
@@ -9,6 +11,7 @@ import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
 
 from tallyspark.llm import sentencepiece_unigram as U
+from tallyspark.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, ids string, n_tokens string"
@@ -121,3 +124,44 @@ def test_queries_and_round_trip(spark):
     for r in U.encoding_report(docs, PATH).collect():
         assert (r.n_tokens, r.ids_crc32) == (len(by_id[r.doc_id]) // 4, zlib.crc32(by_id[r.doc_id]))
     assert U.encoding_report(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_long_words_as_short_ones(model, monkeypatch):
+    """The path for long words gives what the tables give, also where its chunks end inside of pieces."""
+    rng = random.Random(12)
+    letters = "abcdethnsx" + "日本語漢字中文" + "é\u0301🙂\x00" + "▁"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 120))) for _ in range(400)]
+    raw = [w.encode() for w in words]
+    want = [ids.tolist() for ids in model._viterbi(raw)]
+    for starts in (7, 64, 1 << 16):
+        monkeypatch.setattr(U, "STARTS", starts)
+        assert [model._long(r).tolist() for r in raw] == want
+
+
+def test_text_without_spaces_is_not_slow(model):
+    rng = random.Random(13)
+    han = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(200_000))
+    latin = "".join(rng.choice("etaoinshrdlu") for _ in range(200_000))
+
+    def took(text):
+        start = time.perf_counter()
+        ids = np.frombuffer(U.Encoder(model).encode_many([text])[0], "<u4")
+        assert model.decode(ids.tolist()) == text
+        return time.perf_counter() - start
+
+    for text in (han, latin):
+        spaced = " ".join(text[i : i + 5] for i in range(0, len(text), 5))
+        assert took(text) < 3 * took(spaced) + 2
+
+
+def test_query_decodes_the_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in QUERIES["op5_unigram_encoding"](spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        assert got[r.doc_id].decoded_crc32 == zlib.crc32((r.text or "").encode())
+        assert got[r.doc_id].round_trip
+    odd = spark.createDataFrame([(1, "a▁b"), (2, None), (3, "  x  y \n"), (None, "🙂\u0000é")], "doc_id long, text string")
+    trips = {r.doc_id: r.round_trip for r in U.encoding_report(odd, PATH).collect()}
+    assert trips == {1: False, 2: True, 3: True, None: True}
