@@ -9,8 +9,15 @@ from typing import NamedTuple
 
 #: Elements of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no text of the page.
-SKIPPED = "script|style|noscript|template|svg|math|iframe|object|title|textarea|select|canvas|audio|video"
+#: Their content is no text of the page. That of raw ones ends at their end tag only, and a slash does not close them.
+RAW = "script|style|title|textarea|iframe"
+SKIPPED = "noscript|template|object|select|canvas|audio|video"
+FOREIGN = "svg|math"
+#: A tag of these ends an open drawing or formula.
+ENDS_FOREIGN = (
+    "article|aside|b|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|footer|h[1-6]|head|header|hr|i|img|li|main|menu|"
+    "meta|nav|ol|p|pre|ruby|s|section|small|span|strong|strike|sub|sup|table|tt|u|ul|var"
+)
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search "
@@ -29,7 +36,9 @@ SIBLINGS = {
 }
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<skipped>{SKIPPED})(?=[\s/>])(?P<own>[^>]*+)(?<!/)>.*?(?:</(?P=skipped)\s*>|(?=<body[\s>])|\Z)"
+    rf"|<(?P<raw>{RAW})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|(?=<body[\s>])|\Z)"
+    rf"|<(?P<skipped>{SKIPPED})(?=[\s/>])[^>]*+(?<!/)>.*?(?:</(?P=skipped)\s*>|(?=<body[\s>])|\Z)"
+    rf"|<(?P<foreign>{FOREIGN})(?=[\s/>])[^>]*+(?<!/)>.*?(?:</(?P=foreign)\s*>|(?=</?(?:{ENDS_FOREIGN})[\s/>])|\Z)"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",
@@ -97,7 +106,7 @@ def leaf_blocks(page: str) -> list[Block]:
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if tag is None:
-            if m["skipped"] and m["skipped"].lower() in ("title", "select"):
+            if (m["raw"] or m["skipped"] or "").lower() in ("title", "select"):
                 flush()
             continue
         tag = tag.lower()

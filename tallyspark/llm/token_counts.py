@@ -2,10 +2,12 @@
 
 The frequencies leave a block of documents as one row per pre-token, with the
 documents that hold it packed as (position, frequency). All rows of a
-pre-token then meet in one partition, sorted, where the tokenizer counts its
-pieces once and the count is joined to the frequencies. A pre-token has at
-most one row per block, so even the most frequent one is a small share. What
-goes on to the sums is, per block and partition, one packed row.
+pre-token, from as many partitions of documents as `TOGETHER`, then meet in
+one partition, sorted, where the tokenizer counts its pieces once and the
+count is joined to the frequencies. A pre-token has at most one row per block,
+so that the rows that meet are bounded, however large the table and frequent
+the pre-token. What goes on to the sums is, per block and partition, one
+packed row.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 BLOCK_CHARS = 16_000_000
 #: Packed (document, frequency) pairs that a task sums before it passes the sums on.
 FLUSH_PAIRS = 2_000_000
+#: Partitions of documents whose rows of a pre-token meet, a power of two. Larger tables count its pieces once for each so many.
+TOGETHER = 64
 _FREQUENCY_BITS = 8
 _MOST = (1 << _FREQUENCY_BITS) - 1
 
@@ -144,6 +148,12 @@ def frequencies(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> D
     )
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """`rows` by pre-token and `TOGETHER` partitions of documents; a block's number begins with its partition's."""
+    group = F.shiftright("block", 32 + TOGETHER.bit_length() - 1)
+    return rows.repartition(F.coalesce("pre_token", F.col("block").cast("string")), group).sortWithinPartitions("pre_token")
+
+
 def counted(rows: DataFrame, path: str, flush_pairs: int = FLUSH_PAIRS) -> DataFrame:
     """(`block`, `head`, `at`, `sums`): the heads, and tokens per document summed over pre-tokens."""
     schema = pa.schema([("block", pa.int64()), ("head", pa.binary()), ("at", pa.binary()), ("sums", pa.binary())])
@@ -199,8 +209,7 @@ def counted(rows: DataFrame, path: str, flush_pairs: int = FLUSH_PAIRS) -> DataF
         if held:
             yield sums(held)
 
-    dealt = rows.repartition(F.coalesce("pre_token", F.col("block").cast("string"))).sortWithinPartitions("pre_token")
-    return dealt.mapInArrow(run, "block long, head binary, at binary, sums binary")
+    return _dealt(rows).mapInArrow(run, "block long, head binary, at binary, sums binary")
 
 
 def token_counts(

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyspark.llm import token_counts as T
@@ -37,3 +38,16 @@ def test_whole_table(spark):
 
 def test_empty_table(spark):
     assert T.token_counts(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_a_frequent_pre_token_is_dealt_out(spark):
+    """Rows of one pre-token from 6,400 partitions of documents: many tasks share them."""
+    rows = spark.range(6400).selectExpr("id << 32 as block", "' zyzzyva' as pre_token", "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = T._dealt(rows.repartition(8)).groupBy(F.spark_partition_id()).count()
+        groups = T._dealt(rows).select((F.col("block") / (1 << 38)).cast("long").alias("g"), F.spark_partition_id().alias("p")).distinct()
+        assert sizes.agg({"count": "max"}).first()[0] < 6400 // 2
+        assert groups.count() == 100  # 64 partitions stay together
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
