@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tallyspark.functions.money import cents
 from tallyspark.operators.periods import with_change
 from tallyspark.operators.rows import keep_first, profile_columns, unseen
-from tallyspark.sources.tables import read_table
+from tallyspark.session import scratch_path
+from tallyspark.sources.tables import checked_csv, read_table
 from tallyspark.streaming.windows import event_windows
 
 
@@ -87,3 +88,19 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = event_windows(read_table(spark, sf_dir, "events"), late=None)
     at = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("window_start", "window_end")]
     return windows.select(*at, *windows.columns[2:])
+
+
+def orders_csv_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders through CSV files, pending ones without a price: good and rejected lines by status and reason."""
+    orders = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        "o_orderstatus",
+        F.when(F.col("o_orderstatus") == "P", "pending").otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"),
+    )
+    path = f"{scratch_path(spark, 'orders-csv')}/csv"
+    orders.write.option("header", True).csv(path)
+    checked = checked_csv(spark, path, {"o_orderkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double"})
+    status = F.coalesce("o_orderstatus", "reject.texts.o_orderstatus").alias("status")
+    return checked.groupBy(status, F.col("reject.reason").alias("reason")).agg(
+        F.count(F.lit(1)).alias("line_count"), F.sum(cents(F.col("o_totalprice"))).alias("sales_cents")
+    )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int = 8) -> SparkSession:
-    """Session for tests and the bench; a cluster brings its own."""
-    return (
+def local_session(cpus: int = 8, shared: str | None = None) -> SparkSession:
+    """Session for tests and the bench, `shared` its checkpoint folder; a cluster brings its own."""
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tallyspark")
         .config("spark.sql.shuffle.partitions", str(cpus))
@@ -15,8 +17,10 @@ def local_session(cpus: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    return builder.getOrCreate()
 
 
 def checkpoint_path(spark: SparkSession, name: str, fallback: str | None = None) -> str:
@@ -28,3 +32,16 @@ def checkpoint_path(spark: SparkSession, name: str, fallback: str | None = None)
     if root is None:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     return f"{root.rstrip('/')}/{name}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder; whoever runs the job clears that folder.
+
+    Where no checkpoint folder is set and Spark runs in one process, as in
+    tests, the warehouse folder serves. On a cluster an unset folder raises:
+    executors would write where others cannot read.
+    """
+    master = spark.sparkContext.master
+    alone = master == "local" or master.startswith("local[")
+    fallback = spark.conf.get("spark.sql.warehouse.dir") if alone else None
+    return checkpoint_path(spark, f"{name}-{uuid.uuid4().hex}", fallback)

@@ -1,5 +1,9 @@
 """What the driver relies on."""
 
+import sys
+
+import pytest
+
 import __spark_entry__ as contract
 
 
@@ -7,8 +11,11 @@ def test_oracles_belong_to_queries():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-def test_without_the_llm_folder(monkeypatch):
-    monkeypatch.setattr(contract, "_HAS_LLM", False)
+@pytest.mark.parametrize("missing", ["tallyspark.llm.queries", "corpus_pipeline", "xxhash"])
+def test_without_the_llm_folder_or_what_it_needs(monkeypatch, missing):
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("tallyspark.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
     names = set(contract.queries())
     assert "nation_sales" in names and set(contract.oracle_sql()) == names
     assert not any(n == "pipeline" or n.startswith("op") and n[2].isdigit() for n in names)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.money import cents, has_no_cents
 from tallyspark.operators.periods import with_change
 from tallyspark.operators.rows import keep_first, profile_columns, unseen
-from tallyspark.session import checkpoint_path
+from tallyspark.session import checkpoint_path, scratch_path
 from tallyspark.plans import reports
 from tallyspark.sources import tables
 from tallyspark.sources.tables import checked_csv, read_csv, read_table
@@ -50,6 +50,21 @@ def test_csv_keeps_bad_lines(spark, tmp_path):
     assert sorted(r.id for r in bad.collect()) == ["2", "4", "5", "x"]
 
 
+def test_scratch_path_raises_on_a_cluster_without_a_shared_folder():
+    class Session:
+        def __init__(self, master, **values):
+            self.sparkContext = type("Context", (), {"master": master})
+            self.conf = type("Conf", (), {"get": staticmethod(lambda key, *default: values[key] if key in values else default[0])})
+
+    where = {"spark.sql.warehouse.dir": "file:/here"}
+    for master in ("local", "local[4]", "local[*]"):
+        assert scratch_path(Session(master, **where), "x").startswith("file:/here/x-")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_path(Session(master, **where), "x")
+        assert scratch_path(Session(master, **where, **{"spark.checkpoint.dir": "s3://shared"}), "x").startswith("s3://shared/x-")
+
+
 def test_checkpoint_path_prefers_the_session():
     class Conf(dict):
         get = dict.get
