@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.session import checkpoint_path
+from tallyspark.session import scratch_path as scratch
 
 #: The word and space classes of the contracts, as Java and Python patterns.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder; whoever runs the job clears that folder.
-
-    Where no checkpoint folder is set and Spark runs in one process, as in
-    tests, the warehouse folder serves. On a cluster an unset folder raises:
-    executors would write where others cannot read.
-    """
-    master = spark.sparkContext.master
-    alone = master == "local" or master.startswith("local[")
-    fallback = spark.conf.get("spark.sql.warehouse.dir") if alone else None
-    return checkpoint_path(spark, f"{name}-{uuid.uuid4().hex}", fallback)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder, its lineage cut."""
     sc = df.sparkSession.sparkContext
