@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -59,7 +60,7 @@ class ByteLevel:
     """
 
     def __init__(self, path: str):
-        self.path = path
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         own = Tokenizer.from_file(path)
         own.no_truncation()
         own.no_padding()

@@ -8,6 +8,7 @@ window borders, so a document gives one piece for each window it reaches into.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -42,6 +43,7 @@ BYTE_CLASS = np.array(
 
 @lru_cache(maxsize=4)
 def _tokenizer(path: str) -> Tokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()

@@ -12,6 +12,7 @@ packed row.
 
 from __future__ import annotations
 
+import os
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +39,7 @@ _MOST = (1 << _FREQUENCY_BITS) - 1
 
 @lru_cache(maxsize=4)
 def _tokenizer(path: str) -> Tokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()

@@ -5,12 +5,12 @@ import re
 import corpus_pipeline
 import public_tokenizers
 from tallyspark.llm import queries, toxicity
+from test_near_copies import plain_first
 from test_packing import check, whole
-from test_quality_rules import plain_kept
+from test_quality_rules import plain_kept, plain_texts
 from test_secret_scan import plain_base, plain_model
-from test_simhash import plain_components, plain_fingerprint
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 def hidden(text):
@@ -21,21 +21,34 @@ def hidden(text):
     return re.sub("\0+", "[SECRET]", "".join("\0" if k in spans else c for k, c in enumerate(text)))
 
 
+def changed(row, text):
+    """`row` with another text, and its length where that differs."""
+    return row if text == row[1] else (row[0], text, *row[2:4], len(text))
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     rows = [tuple(r) for r in docs.collect()]
     want = {"toxicity": [r for r in rows if model.score((r[1] or "").encode()) < 0.5]}
-    kept = [k for _, _, k in plain_kept([(r[0], r[1], r[3]) for r in want["toxicity"]], 200)]
-    want["quality_rules"] = [r for r, k in zip(want["toxicity"], kept) if k]
-    ids = [r[0] for r in want["quality_rules"]]
-    groups = plain_components(ids, [plain_fingerprint(r[1]) for r in want["quality_rules"]])
-    want["simhash_near_dedup"] = [r for r, g in zip(want["quality_rules"], groups) if r[0] == g]
-    want["secret_scans"] = [(r[0], hidden(r[1]), *r[2:]) for r in want["simhash_near_dedup"]]
+    judged = [(r[0], r[1], r[3]) for r in want["toxicity"]]
+    kept = [r for r, (_, _, k) in zip(want["toxicity"], plain_kept(judged)) if k]
+    want["quality_rules"] = [changed(r, t) for r, t in zip(kept, plain_texts(judged))]
+    groups, _ = plain_first([r[:2] for r in want["quality_rules"]])
+    first = {}
+    for r, g in zip(want["quality_rules"], groups):
+        first[g] = min(first.get(g, r[0]), r[0])
+    want["simhash_near_dedup"] = [r for r, g in zip(want["quality_rules"], groups) if r[0] == first[g]]
+    want["secret_scans"] = [changed(r, hidden(r[1])) for r in want["simhash_near_dedup"]]
+    # Each stage has work to do here.
+    assert len(rows) > len(want["toxicity"]) > len(want["quality_rules"]) > len(want["simhash_near_dedup"])
+    assert sum(r != k for r, k in zip(kept, want["quality_rules"])) > 50
+    assert sum(r != k for r, k in zip(want["simhash_near_dedup"], want["secret_scans"])) > 5
     assert [name for name, _ in corpus_pipeline.STAGES][:4] == list(want)
     for name, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs, SF)
-        assert out.columns == docs.columns
+        assert out.columns == docs.columns and out.schema == docs.schema
         assert sorted(tuple(r) for r in out.collect()) == sorted(want[name])
         docs = spark.createDataFrame(want[name], docs.schema)
     pieces = corpus_pipeline.run(spark, SF).collect()
@@ -71,12 +84,15 @@ def test_registered_columns(spark):
         6: "doc_id start length ids_crc32 doc_tokens sequence_id offset",
         7: "doc_id n_assign n_access n_hex base_sha256 spans", 8: "vec_id n_links component_id kept",
         9: "doc_id held_out score predicted", 10: "doc_id n_bytes n_tokens over_limit",
+        5: "doc_id n_tokens ids_crc32 n_byte_tokens decoded_crc32 round_trip",
+        11: "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256", 12: "doc_id start n_tokens ids_crc32",
+        13: "word form root n n_near form_n",
     }
     names = {int(re.match(r"op(\d+)_", n)[1]): q for n, q in queries.QUERIES.items()}
-    assert sorted(names) == list(range(1, 11))
+    assert sorted(names) == list(range(1, 14))
     for n, columns in first.items():
-        got = names[n](spark, SF)
+        got = names[n](spark, SF.replace("0.01", "0.001"))
         assert set(columns.split()) <= set(got.columns)
-    fp = names[2](spark, SF).collect()
+    fp = names[2](spark, SF.replace("0.01", "0.001")).collect()
     assert all(re.fullmatch("[0-9a-f]{16}", r.fingerprint) for r in fp)
     assert public_tokenizers.path("word_bpe_49k.json") not in open(queries.__file__).read()
